@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, token_codec, toxicity
+from . import ngram_join, packing, quality, token_codec, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: three-word shingles, similarity of 0.9 or more."""
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), width=3, per_cent=90)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept (and the other statistics) for every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -43,6 +48,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_ids": op2_token_ids,
+    "op4_ngram_join": op4_ngram_join,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
 }
