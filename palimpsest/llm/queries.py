@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, packing, quality, token_codec, toxicity
+from . import ann, ngram_join, packing, quality, token_codec, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), width=3, per_cent=90)
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 nearest rows of every row whose vec_id is divisible by 20."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept (and the other statistics) for every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -49,6 +54,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_ids": op2_token_ids,
     "op4_ngram_join": op4_ngram_join,
+    "op5_nearest": op5_nearest,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
 }
