@@ -368,3 +368,18 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, per_cent: int = 80) -
     names = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = named.join(names, "comp").select("node", "component_id")
     return members.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, width: int = 5, per_cent: int = 80) -> DataFrame:
+    """The rows of docs without near copies: of each component, the row with the smallest doc_id (nulls last, then by
+    a hash of the text). Rows repeated exactly count as copies, also those without a word; other rows without a word
+    all stay. Columns as in docs."""
+    members, comps = jaccard_links(docs, width=width, per_cent=per_cent)
+    named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    best = named.where("node is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
+    kept = best.select("best.rid").unionByName(members.where("node is null").select("rid")).distinct()
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = (F.col(f"c{names.index(x)}") for x in ("doc_id", "text"))
+    keyed = plain.withColumn("rid", F.xxhash64(doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit(""))))
+    return keyed.join(kept, "rid", "left_semi").dropDuplicates(["rid"]).drop("rid").toDF(*names)
