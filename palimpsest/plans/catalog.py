@@ -1,4 +1,6 @@
 """Every registered query of the memory engine, with its SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import state
+
+QUERIES: dict = {**state.QUERIES}
+ORACLE_SQL: dict = {**state.ORACLE_SQL}
