@@ -279,25 +279,63 @@ def _left_over(per_cent: int):
     """Pairs of a shingle's nodes in different components that the bounds let through; between two chunks or
     within one."""
 
+    def pairs_of(node, n, comp, side, sketch, seen):
+        left = np.flatnonzero(side != 1)
+        right = left if len(left) == len(side) else np.flatnonzero(side == 1)
+        sizes = np.array([len(x) for x in sketch])
+        stacks = {z: np.frombuffer(b"".join(sketch[k] for k in right[sizes[right] == z]), np.uint8).reshape(-1, z) for z in np.unique(sizes[right]).tolist()}
+        members = {z: right[sizes[right] == z] for z in stacks}
+        for k in left.tolist():
+            own = np.frombuffer(sketch[k], np.uint8)
+            for z, stack in stacks.items():
+                there = members[z]
+                near = (comp[there] != comp[k]) & (100 * np.minimum(n[there], n[k]) >= per_cent * np.maximum(n[there], n[k]))
+                if not near.any():
+                    continue
+                other, size = stack[near], min(z, len(own))
+                apart = np.bitwise_count(np.bitwise_xor.reduce(other.reshape(len(other), -1, size), axis=1) ^ _fold(own, size)).sum(axis=1, dtype=np.int64)
+                both = n[there[near]].astype(np.int64) + int(n[k])
+                for m in there[near][(both - apart) // 2 >= -(-(per_cent * both) // (100 + per_cent))].tolist():
+                    pair = (int(node[k]), int(node[m])) if node[k] < node[m] else (int(node[m]), int(node[k]))
+                    if pair not in seen:
+                        seen.add(pair)
+                        yield pair
+
     def run(batches):
         seen: set[tuple[int, int]] = set()
-        for group in _runs(batches, ["token", "i", "j"]):
-            node, n, comp, side = (np.asarray(group.column(c)) for c in ("node", "n", "comp", "side"))
-            sketch = group.column("sketch").to_pylist()
-            left = np.flatnonzero(side != 1)
-            right = left if (side == 2).all() else np.flatnonzero(side == 1)
-            pairs = []
-            for k in left:
-                near = right[(comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= per_cent * np.maximum(n[right], n[k]))]
-                for m in near:
-                    a, b = sorted((int(node[k]), int(node[m])))
-                    if (a, b) not in seen and may_link(sketch[k], int(n[k]), sketch[m], int(n[m]), per_cent):
-                        seen.add((a, b))
-                        pairs.append((a, b))
-            if len(seen) > 500_000:
-                seen.clear()
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+        held = None
+        out: list[tuple[int, int]] = []
+
+        def work(rows, last: bool):
+            """Whole groups of rows; what may go on in the next batch is given back."""
+            key = rows["key"]
+            cuts = np.append(np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]), len(key))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b == len(key) and not last:
+                    return {c: x[a:] for c, x in rows.items()}
+                if b - a > 1:
+                    out.extend(pairs_of(rows["node"][a:b], rows["n"][a:b], rows["comp"][a:b], rows["side"][a:b], rows["sketch"][a:b], seen))
+                if len(seen) > 100_000:
+                    seen.clear()
+            return None
+
+        def table():
+            done = pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            out.clear()
+            return done
+
+        for batch in batches:
+            rows = {"key": np.stack([np.asarray(batch.column(c), np.int64) for c in ("token", "i", "j")], axis=1), "sketch": batch.column("sketch").to_pylist()}
+            rows |= {c: np.asarray(batch.column(c)) for c in ("node", "n", "comp", "side")}
+            if held is not None:
+                rows = {c: held[c] + rows[c] if c == "sketch" else np.concatenate([held[c], rows[c]]) for c in rows}
+            held = work(rows, False) if batch.num_rows else held
+            if out:
+                yield table()
+        if held is not None:
+            work(held, True)
+            if out:
+                yield table()
 
     return run
 
@@ -314,7 +352,10 @@ def jaccard_links(docs: DataFrame, *, width: int, per_cent: int) -> tuple[DataFr
     nodes = full.groupBy("node").agg(F.min("rid").alias("rid"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
     sketches = full.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
     postings = nodes.select("node", "n", "prefix").mapInArrow(_postings, "token bigint, node bigint, n int, pos int")
-    heads = postings.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "node")).alias("head")).where("c > 1").select("token", "head")
+    alike = [F.bit_xor("node").alias("s1"), F.bit_xor(F.xxhash64("node")).alias("s2")]
+    heads = postings.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "node")).alias("head"), *alike).where("c > 1")
+    # shingles of the very same nodes bring the very same pairs: one of them is enough
+    heads = heads.groupBy("c", "s1", "s2").agg(F.min(F.struct("token", "head")).alias("one")).select("one.*")
     met, met_path = staged(postings.join(heads, "token").select("token", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "ngram-met")
 
     known = met.select("node").distinct().join(nodes.select("node", "rid"), "node")

@@ -8,13 +8,12 @@ from prefix sums modulo 2**64 and finalised with the span length.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,16 +39,17 @@ CONTINUATION = np.zeros(256, bool)
 CONTINUATION[0x80:0xC0] = True
 
 
-@lru_cache(maxsize=2)
-def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(length, _ROOT, U), np.full(length, _ROOT_INVERSE, U)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+_kept: list[np.ndarray] = []
 
 
 def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, for at least ``length`` places."""
-    return _powers(1 << max(16, int(length).bit_length()))
+    """Powers of the hash base and of its inverse, for at least ``length`` places; the longest ones stay."""
+    if not _kept or len(_kept[0]) < length:
+        size = 1 << max(20, int(length - 1).bit_length())
+        up, down = np.full(size, _ROOT, U), np.full(size, _ROOT_INVERSE, U)
+        up[0] = down[0] = 1
+        _kept[:] = [np.cumprod(up), np.cumprod(down)]
+    return _kept[0], _kept[1]
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
