@@ -1,6 +1,6 @@
 """Every registered query of the memory engine, with its SQL."""
 
-from . import state
+from . import state, text
 
-QUERIES: dict = {**state.QUERIES}
-ORACLE_SQL: dict = {**state.ORACLE_SQL}
+QUERIES: dict = {**state.QUERIES, **text.QUERIES}
+ORACLE_SQL: dict = {**state.ORACLE_SQL, **text.ORACLE_SQL}
