@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .frames import pick, staged
 
-ROWS, QUERIES_AT_ONCE = 2048, 256
+ROWS, QUERIES_AT_ONCE, HELD = 2048, 256, 32
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,15 +69,35 @@ def _stack(dim: int, kind: str):
 
 
 def _tiles(dim: int, kind: str, k: int):
+    """The k best of each query over the tiles that a task sees. Up to HELD query blocks' heaps are kept until their
+    next tile; one that gives way is emitted and starts anew, which costs rows but loses none."""
+
     def run(batches):
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def emit(best):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in best], ["query_id", "vec_id", "score"])
+
         for batch in batches:
             for t in range(batch.num_rows):
                 q_id, c_id = (np.frombuffer(batch.column(c)[t].as_buffer(), "<i8") for c in ("q_ids", "ids"))
                 q, c = (np.frombuffer(batch.column(c)[t].as_buffer(), kind).reshape(-1, dim).astype(np.float64) for c in ("q_data", "data"))
+                key = batch.column("q")[t].as_py()
+                found = [held.pop(key)] if key in held else []
                 for s in range(0, len(q), QUERIES_AT_ONCE):
                     own = q_id[s : s + QUERIES_AT_ONCE]
                     a, b, score = tile_best(own, q[s : s + QUERIES_AT_ONCE], c_id, c, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(c_id[b]), pa.array(score)], ["query_id", "vec_id", "score"])
+                    found.append((own[a], c_id[b], score))
+                query, vector, score = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((vector, -score, query))
+                query, vector, score = query[order], vector[order], score[order]
+                new = np.r_[True, query[1:] != query[:-1]] if len(query) else np.zeros(0, bool)
+                place = np.arange(len(query)) - np.maximum.accumulate(np.where(new, np.arange(len(query)), 0))
+                held[key] = tuple(x[place < k] for x in (query, vector, score))
+                if len(held) > HELD:
+                    yield emit(held.pop(next(iter(held))))
+        for best in held.values():
+            yield emit(best)
 
     return run
 
@@ -95,13 +115,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     first, ties to the smaller vec_id. is_query: a condition on vec_id.
 
     Rows that take no part (see ``usable``) are neither queries nor candidates; vectors of another length than the
-    smallest usable vec_id's take no part either. Repeated vec_ids: a query never meets rows of its own id; a
-    repeated query or candidate id counts once, by its greatest score. No rows: no result.
+    smallest usable vec_id's take no part either. Of rows with one vec_id the least vector takes
+    part. No rows: no result.
     """
     rows = usable(vectors)
     first = rows.agg(F.min_by(F.size("v"), "vec_id").alias("d")).first()
     dim = first["d"] or 1
-    rows = rows.where(F.size("v") == dim)
+    rows = rows.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     kind = "<f4" if dict(rows.dtypes)["v"] == "array<float>" else "<f8"
     if kind == "<f8":
         rows = rows.withColumn("v", F.col("v").cast("array<double>"))
@@ -113,10 +133,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
 
     wanted, _ = blocked(rows.where(is_query), "ann-queries")
     blocks, count = blocked(rows, "ann-rows")
-    # each block of the stated query set meets every candidate block, by that block's number
-    spread = wanted.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("id"))
-    met = spread.join(blocks, "id").select("q_ids", "q_data", "ids", "data")
+    # each block of the stated query set goes to every group of candidate blocks, and meets them there one by one
+    groups = min(count, 2 * vectors.sparkSession.sparkContext.defaultParallelism)
+    spread = wanted.select(F.col("id").alias("q"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    met = spread.join(blocks.withColumn("part", F.col("id") % groups), "part").select("q", "q_ids", "q_data", "ids", "data")
     found = met.mapInArrow(_tiles(dim, kind, k), "query_id bigint, vec_id bigint, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
