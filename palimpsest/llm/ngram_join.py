@@ -352,11 +352,14 @@ def jaccard_links(docs: DataFrame, *, width: int, per_cent: int) -> tuple[DataFr
     nodes = full.groupBy("node").agg(F.min("rid").alias("rid"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
     sketches = full.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
     postings = nodes.select("node", "n", "prefix").mapInArrow(_postings, "token bigint, node bigint, n int, pos int")
+    repeated = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    shared, shared_path = staged(postings.join(repeated, "token", "left_semi"), "ngram-shared")
     alike = [F.bit_xor("node").alias("s1"), F.bit_xor(F.xxhash64("node")).alias("s2")]
-    heads = postings.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "node")).alias("head"), *alike).where("c > 1")
+    heads = shared.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "node")).alias("head"), *alike)
     # shingles of the very same nodes bring the very same pairs: one of them is enough
     heads = heads.groupBy("c", "s1", "s2").agg(F.min(F.struct("token", "head")).alias("one")).select("one.*")
-    met, met_path = staged(postings.join(heads, "token").select("token", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "ngram-met")
+    met, met_path = staged(shared.join(heads, "token").select("token", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "ngram-met")
+    discard(spark, shared_path)
 
     known = met.select("node").distinct().join(nodes.select("node", "rid"), "node")
     texts = rows.select("rid", "text").join(known, "rid").select("node", "text")
