@@ -43,7 +43,7 @@ def cosine(vectors: DataFrame, weights: DataFrame, key: str = "id") -> DataFrame
 def top(scores: DataFrame, k: int, key: str = "id") -> DataFrame:
     """The k best of each query, ties to the smaller key."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def hybrid(concept: DataFrame, lexical: DataFrame, key: str = "id") -> DataFrame:
@@ -76,7 +76,7 @@ def back_fill(allowed: DataFrame, hits: DataFrame, budget: int) -> DataFrame:
     tier = F.col("score").isNull().cast("int")
     order = Window.partitionBy("query_id").orderBy(tier, F.desc("score"), F.desc("recorded_seq"), "id")
     ranked = table.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= budget)
-    return ranked.select("query_id", "id", "rank", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return ranked.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def subject_profiles(evidence: DataFrame, bridge: DataFrame, assertions: DataFrame) -> DataFrame:

@@ -171,17 +171,16 @@ def question_subject(spark, sf_dir):
     return r.plan_subjects(_asked(spark, sf_dir), p, p.agg(F.countDistinct("subject_id").alias("n")))
 
 
-_FILTER = """,
-qs AS (
-  SELECT query_id, regexp_extract(question, 'of (u[0-9]+)', 1) AS subject_id, predicate, valid_time, known_by FROM parsed),
+_ALLOWED = """,
+qs AS (SELECT query_id, regexp_extract(question, 'of (u[0-9]+)', 1) AS subject_id, predicate, valid_time, known_by FROM parsed),
 mine AS (SELECT a.subject_id, a.predicate, a.valid_from, a.valid_to, b.evidence_id FROM bridge b JOIN assertions a ON a.id = b.assertion_id),
 met AS (SELECT DISTINCT qs.*, m.evidence_id FROM qs JOIN mine m USING (subject_id)),
-allowed AS (
-  SELECT met.query_id, met.evidence_id AS id, e.recorded_seq FROM met JOIN mine m ON m.evidence_id = met.evidence_id JOIN evidence e ON e.id = met.evidence_id
-  WHERE known_by IS NULL OR e.recorded_seq <= known_by
-  GROUP BY ALL
-  HAVING bool_or(met.predicate IS NULL OR m.predicate = met.predicate)
-     AND bool_or(valid_time IS NULL OR (m.valid_from <= valid_time AND (m.valid_to IS NULL OR valid_time <= m.valid_to))))
+fits AS (
+  SELECT met.query_id, met.evidence_id, any_value(known_by) AS known_by,
+         bool_or(met.predicate IS NULL OR m.predicate = met.predicate) AS p,
+         bool_or(valid_time IS NULL OR (m.valid_from <= valid_time AND (m.valid_to IS NULL OR valid_time <= m.valid_to))) AS v
+  FROM met JOIN mine m ON m.evidence_id = met.evidence_id GROUP BY ALL),
+allowed AS (SELECT f.query_id, e.id, e.recorded_seq FROM fits f JOIN evidence e ON e.id = f.evidence_id WHERE p AND v AND (known_by IS NULL OR e.recorded_seq <= known_by))
 """
 
 
@@ -194,23 +193,23 @@ def _allowed(spark, sf_dir):
     return r.hard_filter(_planned(spark, sf_dir), tables.evidence(spark, sf_dir), tables.bridge(spark, sf_dir), tables.assertions(spark, sf_dir))
 
 
-@query(f"""WITH {tables.SQL}{_ASKED}{_PLAN},
-qs AS (SELECT query_id, regexp_extract(question, 'of (u[0-9]+)', 1) AS subject_id, predicate, valid_time, known_by FROM parsed),
-mine AS (SELECT a.subject_id, a.predicate, a.valid_from, a.valid_to, b.evidence_id FROM bridge b JOIN assertions a ON a.id = b.assertion_id),
-met AS (SELECT DISTINCT qs.*, m.evidence_id FROM qs JOIN mine m USING (subject_id)),
-fits AS (
-  SELECT met.query_id, met.evidence_id, any_value(known_by) AS known_by,
-         bool_or(met.predicate IS NULL OR m.predicate = met.predicate) AS p,
-         bool_or(valid_time IS NULL OR (m.valid_from <= valid_time AND (m.valid_to IS NULL OR valid_time <= m.valid_to))) AS v
-  FROM met JOIN mine m ON m.evidence_id = met.evidence_id GROUP BY ALL),
-allowed AS (SELECT f.query_id, e.id, e.recorded_seq FROM fits f JOIN evidence e ON e.id = f.evidence_id WHERE p AND v AND (known_by IS NULL OR e.recorded_seq <= known_by))
-SELECT query_id, count(*) AS n_allowed, max(recorded_seq) AS newest FROM allowed GROUP BY query_id""")
+@query(f"WITH {tables.SQL}{_ASKED}{_PLAN}{_ALLOWED} SELECT query_id, count(*) AS n_allowed, max(recorded_seq) AS newest FROM allowed GROUP BY query_id")
 def hard_filter(spark, sf_dir):
     """What each question's constraints let through (uncorrelated parts)."""
     return _allowed(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("n_allowed"), F.max("recorded_seq").alias("newest"))
 
 
-@query()
+@query(f"""WITH {tables.SQL}{_ASKED}{_PLAN}{_ALLOWED},
+asked_terms AS (SELECT DISTINCT query_id, unnest({_TOKENS.format('question')}) AS term FROM asked),
+said_terms AS (SELECT DISTINCT id, unnest({_TOKENS.format('payload')}) AS term FROM evidence),
+hits AS (
+  SELECT a.query_id, a.id, CAST(count(*) AS DOUBLE) AS score FROM allowed a
+  JOIN asked_terms q ON q.query_id = a.query_id JOIN said_terms s ON s.id = a.id AND s.term = q.term GROUP BY ALL),
+ranked AS (
+  SELECT a.query_id, a.id, h.score, row_number() OVER (
+    PARTITION BY a.query_id ORDER BY CASE WHEN h.score IS NULL THEN 1 ELSE 0 END, h.score DESC, a.recorded_seq DESC, a.id) AS rank
+  FROM allowed a LEFT JOIN hits h ON h.query_id = a.query_id AND h.id = a.id)
+SELECT query_id, id, rank, coalesce(score, 0.0) AS score FROM ranked WHERE rank <= 4""")
 def planned_backfill(spark, sf_dir):
     """Four pieces of evidence a question, text hits first, then the newest allowed ones."""
     allowed = _allowed(spark, sf_dir)
