@@ -152,19 +152,19 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
     return p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))) if p else -1.0
 
 
-def _grow(x: np.ndarray, bad: np.ndarray, cuts: list[np.ndarray], longest: int) -> list[Condition]:
+def _grow(x: np.ndarray, bad: np.ndarray, weight: np.ndarray, cuts: list[np.ndarray], longest: int) -> list[Condition]:
     inside, rule = np.ones(len(x), bool), []
     while len(rule) < longest:
-        p0, n0 = int(bad[inside].sum()), int((~bad[inside]).sum())
+        p0, n0 = float(weight[inside & bad].sum()), float(weight[inside & ~bad].sum())
         if not n0:
             break
         best = (0.0, None)
         for j, name in enumerate(FEATURES):
-            v, b = x[inside, j], bad[inside]
+            v, p, n = x[inside, j], np.where(bad, weight, 0.0)[inside], np.where(bad, 0.0, weight)[inside]
             for cut in cuts[j]:
                 over = v > cut
                 for above, hit in ((True, over), (False, ~over)):
-                    gain = _gain(float((b & hit).sum()), float((~b & hit).sum()), p0, n0)
+                    gain = _gain(float(p[hit].sum()), float(n[hit].sum()), p0, n0)
                     if gain > best[0] + 1e-12:
                         best = (gain, Condition(name, above, float(cut)))
         if best[1] is None:
@@ -175,11 +175,14 @@ def _grow(x: np.ndarray, bad: np.ndarray, cuts: list[np.ndarray], longest: int)
 
 
 def fit_decision_list(
-    x: np.ndarray, bad: np.ndarray, fold: np.ndarray, *, most_rules: int = 12, longest: int = 4, precision: float = 0.9, least: int = 5, n_cuts: int = 40
+    x: np.ndarray, bad: np.ndarray, fold: np.ndarray, weight: np.ndarray | None = None, *, most_rules: int = 12, longest: int = 4, precision: float = 0.9, least: int = 5, n_cuts: int = 40
 ) -> list[Rule]:
     """Sequential covering: grow a conjunction on fold 0, prune its tail on fold 1, keep it if it is precise, and
-    go on without the rows that it covers. bad: what the rules are to cover. No rows, or no bad ones: no rules."""
+    go on without the rows that it covers. bad: what the rules are to cover. weight: labelled documents that a row
+    stands for (1 if not given); gain, worth and precision are of those, ``least`` is of rows. No rows, or no bad
+    ones: no rules."""
     rules: list[Rule] = []
+    weight = np.ones(len(x)) if weight is None else weight
     left = np.ones(len(x), bool)
     if not len(x) or not bad.any():
         return rules
@@ -189,39 +192,44 @@ def fit_decision_list(
         grow, prune = left & (fold == 0), left & (fold != 0)
         if bad[grow].sum() < least:
             break
-        found = _grow(x[grow], bad[grow], cuts, longest)
+        found = _grow(x[grow], bad[grow], weight[grow], cuts, longest)
         best, kept = -1.0, found
         for n in range(len(found), 0, -1):
             hit = Rule(tuple(found[:n]), 0, 0).holds(x[prune])
-            p, q = int((bad[prune] & hit).sum()), int((~bad[prune] & hit).sum())
+            p, q = float(weight[prune][bad[prune] & hit].sum()), float(weight[prune][~bad[prune] & hit].sum())
             worth = (p - 3 * q) / max(1, p + q)
             if worth >= best:
                 best, kept = worth, found[:n]
         if not kept:
             break
         hit = Rule(tuple(kept), 0, 0).holds(x) & left
-        p, q = int((bad & hit).sum()), int((~bad & hit).sum())
-        if p < least or (p + 0.0) / (p + q) < precision:
+        p, q = float(weight[bad & hit].sum()), float(weight[~bad & hit].sum())
+        if (bad & hit).sum() < least or p / (p + q) < precision:
             break
-        rules.append(Rule(tuple(kept), p / (p + q), p + q))
+        rules.append(Rule(tuple(kept), p / (p + q), round(p + q)))
         left &= ~hit
     return rules
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, most: int = 6000) -> DataFrame:
-    """Features, quality label and fold of at most ``most`` labelled documents of each class, by a hash of doc_id."""
+    """Features, quality label, fold and weight of at most ``most`` labelled documents of each class, by a hash of
+    doc_id. The weight is the class's labels over those picked, so that weighted counts keep the real shares."""
     known = pick(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").dropDuplicates(["doc_id"])
     order = F.xxhash64(F.lit("quality"), "doc_id")
     picked = known.where("quality = 0").orderBy(order, "doc_id").limit(most).unionByName(known.where("quality <> 0").orderBy(order, "doc_id").limit(most))
+    n = known.agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") != 0).alias("good")).first()
+    weight = F.when(F.col("quality") == 0, max(1.0, n["bad"] / most)).otherwise(max(1.0, n["good"] / most))
     rows = pick(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("__s", text_statistics("text"))
-    return rows.select(*[feature(F.col("__s"), x).alias(x) for x in FEATURES], (F.col("quality") == 0).alias("bad"), F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).alias("fold"))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2))
+    return rows.select(*[feature(F.col("__s"), x).alias(x) for x in FEATURES], (F.col("quality") == 0).alias("bad"), fold.alias("fold"), weight.alias("weight"))
 
 
 def learn_decision_list(docs: DataFrame, labels: DataFrame, most: int = 6000, **options) -> list[Rule]:
     """Rules for rejecting documents, learnt from at most 2 * ``most`` labelled rows (the bound on what the driver
-    gets: a dozen numbers a row). Labels of unknown documents and null labels are left out."""
+    gets: a dozen numbers a row), each weighted by what it stands for. Labels of unknown documents and null labels are
+    left out."""
     table = labelled_statistics(docs, labels, most).toPandas().sort_values([*FEATURES, "bad", "fold"])
-    return fit_decision_list(table[list(FEATURES)].to_numpy(float), table["bad"].to_numpy(bool), table["fold"].to_numpy(int), **options)
+    return fit_decision_list(table[list(FEATURES)].to_numpy(float), table["bad"].to_numpy(bool), table["fold"].to_numpy(int), table["weight"].to_numpy(float), **options)
 
 
 def base_failed(stats: Column) -> Column:
