@@ -3,8 +3,9 @@
 A text is cut before a space or line feed that follows a visible ASCII character or a two-byte letter, and before
 ASCII punctuation that follows an ASCII letter. The pre-tokenizers of the supported vocabularies (byte-level and
 word-end byte-pair encodings) never join characters across such a place, so the ids of the text are those of its
-segments in order. A worker remembers segments by their 64-bit hash and length in a direct-mapped table and gives
-only new ones to the library.
+segments in order. A text that holds the string of an added token (such as ``<|endoftext|>``) is not cut: the library
+gets it whole and gives the token's own id. A worker remembers segments by their 64-bit hash and length in a
+direct-mapped table and gives only new ones to the library.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ class SegmentTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self._forget()
 
@@ -64,6 +65,19 @@ class SegmentTokenizer:
             self.used += total
             self.known += len(part)
 
+    def _whole(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """The texts that hold an added token's string."""
+        rows = set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                inside = at + len(token) <= offsets[row + 1]
+                if inside:
+                    rows.add(row)
+                at = raw.find(token, int(offsets[row + 1]) if inside else at + 1)
+        return np.array(sorted(rows), np.int64)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids of each text)."""
         rows = len(offsets) - 1
@@ -75,6 +89,9 @@ class SegmentTokenizer:
         letter = np.zeros(len(before), bool)
         letter[1:] = CONTINUATION[before[1:]] & (data[:-2] >= 0xC3) & (data[:-2] <= 0xDF)
         cut[1:] = ((data[1:] == 0x20) | (data[1:] == 0x0A)) & (visible | letter) | PUNCTUATION[data[1:]] & _LETTER[before]
+        raw = data.tobytes()
+        for row in self._whole(raw, offsets):
+            cut[offsets[row] : offsets[row + 1]] = False
         cut[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
@@ -86,7 +103,7 @@ class SegmentTokenizer:
         new = np.flatnonzero(self.key[slot] != key)
         if len(new):
             distinct, sample, kind = np.unique(key[new], return_index=True, return_inverse=True)
-            raw, a, b = data.tobytes(), start[new[sample]].tolist(), end[new[sample]].tolist()
+            a, b = start[new[sample]].tolist(), end[new[sample]].tolist()
             entry[new] = self.known + kind
             place = slot[new[sample]]
             self.key[place] = distinct

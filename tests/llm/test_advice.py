@@ -1,6 +1,13 @@
 """One test for each settled finding of the review."""
 
-from palimpsest.llm import quality
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from palimpsest.llm import packing, quality, token_codec, tokens
+from palimpsest.llm.textbytes import blocks
 
 
 def test_rules_are_as_precise_as_on_all_labels(spark):
@@ -18,3 +25,37 @@ def test_rules_are_as_precise_as_on_all_labels(spark):
     for most in (50, 6000):
         (rule,) = quality.learn_decision_list(clear, labels, most=most)
         assert rule.precision == 1 and rule.covered == 45
+
+
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|startoftext|>, y\n z", "half <|endof", "text|> half", None, "it's plain, text", "<|ENDOFTEXT|> é<|endoftext|>é "]
+
+
+def contract(vocab):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.vocabulary(vocab))
+    return lambda text: library.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("vocab", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_get_their_own_ids(vocab):
+    ids_of, coder = contract(vocab), tokens.SegmentTokenizer(tokens.vocabulary(vocab))
+    if vocab == "byte_bpe_50k.json":
+        assert ids_of(SPECIAL[0]) == [64, 220, 50256, 275]
+    for most in (1, 1000):
+        for a, b, data, offsets in blocks(pa.array(SPECIAL), most):
+            ids, sizes = coder.encode(data, offsets)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [ids_of(t) for t in SPECIAL[a:b]]
+
+
+def test_added_tokens_in_token_file_and_packing(spark):
+    docs = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    at, ids_of = 0, contract("byte_bpe_50k.json")
+    for r in token_codec.round_trip(docs).orderBy("doc_id").collect():
+        ids = [*ids_of(SPECIAL[r.doc_id]), 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    ids_of = contract("word_bpe_49k.json")
+    for r in packing.pack_along_curve(docs).collect():
+        ids = [*ids_of(SPECIAL[r.doc_id]), 1]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
