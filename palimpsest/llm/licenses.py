@@ -3,7 +3,8 @@
 Words are runs outside space and ASCII punctuation, ASCII-lower-cased. Each template's three-word hashes are winnowed
 (the least of every WINDOW consecutive ones is kept) into an index; a text's hashes that meet it name the template
 and the diagonal. Along that diagonal a banded longest-common-subsequence alignment counts the template's words that
-the text holds in order; if the share reaches the threshold, the match is reported with its span.
+the text holds in order; if the share reaches the threshold, the match is reported with its span. Where matches of
+several templates overlap, those with the most coverage stay: templates that differ in one word share the rest.
 """
 
 from __future__ import annotations
@@ -87,7 +88,8 @@ class Index:
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """(matched words, first and last matched word of text) of the longest common subsequence that stays within
-    ``band`` of text position = template position + diagonal."""
+    ``band`` of text position = template position + diagonal: of equal ones that with the earliest end,
+    and from there words as late as may be."""
     m, width = len(template), 2 * band + 1
     best = np.zeros((m + 1, width + 1), np.int32)  # cell k of row i: text words before i + diagonal - band + k
     for i in range(1, m + 1):
@@ -104,7 +106,9 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
     total, first, last = int(best[m, k]), -1, -1
     while i > 0 and best[i, k] > 0:
         at = i - 1 + diagonal - band + k
-        if k > 0 and best[i, k] == best[i, k - 1]:
+        if last >= 0 and k < width and 0 <= at < len(text) and text[at] == template[i - 1] and best[i - 1, k] + 1 == best[i, k]:
+            first, i = at, i - 1
+        elif k > 0 and best[i, k] == best[i, k - 1]:
             k -= 1
         elif k + 1 <= width and best[i - 1, k + 1] == best[i, k]:
             i, k = i - 1, k + 1
@@ -114,6 +118,17 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
     return total, first, last
 
 
+def strongest(index: Index, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Without the matches that overlap a kept one of more coverage; equal coverage keeps all."""
+    kept: list[tuple[int, int, int, int]] = []
+    share = [n / len(index.words[t]) for t, n, _, _ in found]
+    for k in sorted(range(len(found)), key=lambda k: -share[k]):
+        _, _, a, b = found[k]
+        if not any(a < d and c < b and n / len(index.words[t]) > share[k] for t, n, c, d in kept):
+            kept.append(found[k])
+    return kept
+
+
 def block_licenses(index: Index, data: np.ndarray, offsets: np.ndarray, least: float) -> list[list[tuple[int, int, int, int]]]:
     """(template, matched words, start, end) for each text; start and end in code points, end exclusive."""
     words, start, end, row = _words(data, offsets)
@@ -132,15 +147,15 @@ def block_licenses(index: Index, data: np.ndarray, offsets: np.ndarray, least: f
                 continue
             tried.add((r, t, diagonal))
             template = index.words[t]
-            text = words[edges[r] : edges[r + 1]]
-            matched, one, last = align(template, text, diagonal - int(edges[r]))
+            base = max(int(edges[r]), covered.get((r, t), -1) + 1)  # a word counts for one match of a template
+            matched, one, last = align(template, words[base : edges[r + 1]], diagonal - base)
             if matched >= least * len(template):
-                one, last = one + int(edges[r]), last + int(edges[r])
+                one, last = one + base, last + base
                 before = int((~CONTINUATION[data[offsets[r] : start[one]]]).sum())
                 size = int((~CONTINUATION[data[start[one] : end[last]]]).sum())
                 out[r].append((t, matched, before, before + size))
                 covered[(r, t)] = last
-    return out
+    return [strongest(index, found) for found in out]
 
 
 _FOUND = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from palimpsest.llm import packing, quality, token_codec, tokens
+from palimpsest.llm import licenses, packing, quality, token_codec, tokens
 from palimpsest.llm.textbytes import blocks
 
 
@@ -59,3 +59,17 @@ def test_added_tokens_in_token_file_and_packing(spark):
     for r in packing.pack_along_curve(docs).collect():
         ids = [*ids_of(SPECIAL[r.doc_id]), 1]
         assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+
+
+def test_sibling_licenses_are_told_apart(spark):
+    nc, sa, old = "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.", "Released under the MIT License."
+    said = [nc, sa, f"{nc} {sa}", f"{sa}\n{nc}\n{nc}", f"x {sa} some more words here {nc} y {old}", f"{old} {old}", "Licensed under CC BY 4.0."]
+    names = {"CC-BY-NC": nc, "CC-BY-SA": sa, "MIT": old}
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    for r in licenses.scan_licenses(docs).collect():
+        text, found = said[r.doc_id], [(x.license, x.start, x.end) for x in r.licenses]
+        if r.doc_id == 6:  # a tie: neither word that tells them apart
+            assert {(x.license, x.coverage) for x in r.licenses} == {("CC-BY-NC", 6 / 7), ("CC-BY-SA", 6 / 7)}
+            continue
+        want = [(name, a, a + len(line) - 1) for name, line in names.items() for a in range(len(text)) if text.startswith(line, a)]
+        assert found == sorted(want, key=lambda x: x[1]), text
