@@ -1,4 +1,4 @@
-"""Keeping derived state fresh: upserts, affected regions, deltas, parity, admission of concurrent intents."""
+"""Keeping derived state fresh: upserts, affected regions, deltas, admission of concurrent intents."""
 
 from __future__ import annotations
 

@@ -93,7 +93,7 @@ new AS (SELECT subject_id, predicate, arg_max(id, recorded_seq) AS id FROM asser
 SELECT *, 'removed' AS change FROM (SELECT * FROM old EXCEPT ALL SELECT * FROM new)
 UNION ALL SELECT *, 'added' FROM (SELECT * FROM new EXCEPT ALL SELECT * FROM old)""")
 def head_delta(spark, sf_dir):
-    """What the second half of the log changes in the heads."""
+    """What the second half of the log changes in the heads."""
     a = tables.assertions(spark, sf_dir).select(*t.KEY, "id", "recorded_seq")
     old = t.current_heads(a.where(F.col("recorded_seq") <= _half(spark, sf_dir)))
     return m.difference(old.select(*t.KEY, "id"), t.current_heads(a).select(*t.KEY, "id"))
@@ -279,5 +279,5 @@ def region_reach(spark, sf_dir):
 
 @query("""SELECT 'u' || user_id AS subject_id, event_type AS predicate, 'a' || max(event_id) AS id, max(event_id) AS recorded_seq FROM events GROUP BY user_id, event_type""")
 def streamed_heads(spark, sf_dir):
-    """Heads kept from the event log read as a stream, batch by batch."""
+    """Heads kept from the event log read as a stream, batch by batch."""
     return heads.heads_of_events(spark, f"{sf_dir}/events.parquet")
