@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where unset, a new temporary folder."""
+    """spark.checkpoint.dir. Where unset, a new temporary folder, in local mode only: on a cluster no folder of one
+    machine is seen by the others, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
         root = spark.sparkContext.getCheckpointDir()
     return root
