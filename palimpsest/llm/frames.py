@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.shared import shared_root
+
+FILTER_BITS = 1 << 25  # 4 MB: the proven bound on what a membership filter sends around
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -17,25 +23,18 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     """
     have = df.columns
     plain = df.toDF(*[f"c{i}" for i in range(len(have))])
-    lower = [x.lower() for x in have]
 
     def one(name: str):
-        if name in have:
-            return F.col(f"c{have.index(name)}").alias(name)
-        if name.lower() in lower:
-            return F.col(f"c{lower.index(name.lower())}").alias(name)
-        return F.lit(None).alias(name)
+        at = place(have, name)
+        return (F.lit(None) if at is None else F.col(f"c{at}")).alias(name)
 
     return plain.select(*[one(x) for x in names])
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where unset, a new temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root
+def place(names: list[str], name: str) -> int | None:
+    """Where a column stands: exact case first, then any case; None if there is none."""
+    lower = [x.lower() for x in names]
+    return names.index(name) if name in names else lower.index(name.lower()) if name.lower() in lower else None
 
 
 def staged(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
@@ -51,3 +50,20 @@ def discard(spark: SparkSession, path: str) -> None:
     """Removes a staged table that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def membership(keys: DataFrame, key: str):
+    """A column function: long -> whether the value may be among keys (never a wrong no). The filter is a bitmap of
+    FILTER_BITS, whatever the number of keys: with too many of them it lets more through, and nothing is lost."""
+    slot = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    words = keys.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, int(pmod({key}, 64)))").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # FILTER_BITS / 64 rows at most
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[found.column("w").to_numpy()] = found.column("b").to_numpy()
+
+    @F.arrow_udf(T.BooleanType())
+    def held(value: pa.Array) -> pa.Array:
+        at = np.mod(value.fill_null(0).to_numpy(zero_copy_only=False), FILTER_BITS)
+        return pa.array((table[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return held

@@ -4,8 +4,8 @@ Every document is its set of distinct word shingles (64-bit hashes) in one globa
 frequent. Documents with equal sets are one node. Two sets that link share a shingle among the first
 ``n - ceil(t n) + 1`` of each, so nodes meet under their prefix shingles only. Meeting nodes are compared with the
 node of their shingle that has the fewest rarer shingles (one pass, linear in the postings); what this leaves in
-different components is compared pair by pair, after exact bounds from sizes and from parity sketches. Comparison
-itself stores the partners of a node in a trie of their globally ordered sets (frequent first), walks it once with
+different components is compared pair by pair, after exact bounds from sizes, from the places of the shared shingle
+and from parity sketches. Texts are fetched for nodes of such pairs only, one text a node. Comparison itself stores the partners of a node in a trie of their globally ordered sets (frequent first), walks it once with
 the node's set so that partners with a common beginning share their partial overlap, and drops a subtree as soon as
 what remains in it cannot reach the overlap that is needed. No pair is dropped other than by such exact bounds.
 """
@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .frames import discard, pick, staged
+from .frames import discard, membership, pick, place, staged
 from .textbytes import LOWER, Hasher, blocks, mix, windows, word_spans
 
 ORDER_BITS = 16
 CHUNK = 256
+SALT_ROWS = 4096
 U = np.uint64
 
 
@@ -62,6 +63,7 @@ class Order:
         mean = shingle_counts.mean()
         heavy = shingle_counts > mean + 6 * np.sqrt(mean) + 20
         self.heavy = np.where(heavy, 1000.0 + np.log1p(shingle_counts), 0.0).astype(np.float32)
+        self.salts = np.where(heavy, np.maximum(2, shingle_counts // SALT_ROWS), 1).astype(np.int32)  # groups that a shingle's nodes are dealt to
         self.words = np.log1p(word_counts).astype(np.float32)
 
     @staticmethod
@@ -102,7 +104,7 @@ def needed(na: int, nb, per_cent: int):
 def parity_sketch(own: np.ndarray) -> bytes:
     """Parities of the counts of the set's hashes modulo a power of two; sets that differ in d members have sketches
     that differ in d places at most, also after folding to a smaller size."""
-    size = 1 << max(6, int(len(own)).bit_length())
+    size = 1 << max(6, int(len(own)).bit_length() - 1)
     odd = np.bincount((own & U(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -229,18 +231,24 @@ def _describe(width: int, per_cent: int, order: Order):
     return run
 
 
-def _postings(batches):
-    for batch in batches:
-        data = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("prefix")]
-        for a in range(0, len(data), 512):
-            part = data[a : a + 512]
-            size = np.array([len(x) for x in part])
-            pos = np.concatenate([np.arange(s) for s in size])
-            rest = batch.slice(a, len(part))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(part)), pa.array(np.repeat(np.asarray(rest.column("node")), size)), pa.array(np.repeat(np.asarray(rest.column("n")), size).astype(np.int32)), pa.array(pos, pa.int32())],
-                ["token", "node", "n", "pos"],
-            )
+def _postings(order: Order):
+    salts = order.salts
+
+    def run(batches):
+        for batch in batches:
+            data = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("prefix")]
+            for a in range(0, len(data), 512):
+                part = data[a : a + 512]
+                size = np.array([len(x) for x in part])
+                token = np.concatenate(part)
+                rest = batch.slice(a, len(part))
+                node, n = (np.repeat(np.asarray(rest.column(c)), size) for c in ("node", "n"))
+                many = salts[Order.bucket(token.view(U))]
+                salt = (mix(node.view(U)) % many.astype(U)).astype(np.int32)
+                pos = np.concatenate([np.arange(s) for s in size])
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(salt), pa.array(many > 1), pa.array(node), pa.array(n.astype(np.int32)), pa.array(pos, pa.int32())], ["token", "salt", "split", "node", "n", "pos"])
+
+    return run
 
 
 def _bounded(per_cent: int):
@@ -279,7 +287,7 @@ def _left_over(per_cent: int):
     """Pairs of a shingle's nodes in different components that the bounds let through; between two chunks or
     within one."""
 
-    def pairs_of(node, n, comp, side, sketch, seen):
+    def pairs_of(node, n, pos, comp, side, sketch, seen):
         left = np.flatnonzero(side != 1)
         right = left if len(left) == len(side) else np.flatnonzero(side == 1)
         sizes = np.array([len(x) for x in sketch])
@@ -289,13 +297,16 @@ def _left_over(per_cent: int):
             own = np.frombuffer(sketch[k], np.uint8)
             for z, stack in stacks.items():
                 there = members[z]
+                both = n[there].astype(np.int64) + int(n[k])
+                least = needed(0, both, per_cent)
                 near = (comp[there] != comp[k]) & (100 * np.minimum(n[there], n[k]) >= per_cent * np.maximum(n[there], n[k]))
+                # linking sets share a shingle that at most n - least others come before, in each
+                near &= (pos[there] + least <= n[there]) & (pos[k] + least <= n[k])
                 if not near.any():
                     continue
-                other, size = stack[near], min(z, len(own))
+                other, size, both, least = stack[near], min(z, len(own)), both[near], least[near]
                 apart = np.bitwise_count(np.bitwise_xor.reduce(other.reshape(len(other), -1, size), axis=1) ^ _fold(own, size)).sum(axis=1, dtype=np.int64)
-                both = n[there[near]].astype(np.int64) + int(n[k])
-                for m in there[near][(both - apart) // 2 >= -(-(per_cent * both) // (100 + per_cent))].tolist():
+                for m in there[near][(both - apart) // 2 >= least].tolist():
                     pair = (int(node[k]), int(node[m])) if node[k] < node[m] else (int(node[m]), int(node[k]))
                     if pair not in seen:
                         seen.add(pair)
@@ -314,7 +325,7 @@ def _left_over(per_cent: int):
                 if b == len(key) and not last:
                     return {c: x[a:] for c, x in rows.items()}
                 if b - a > 1:
-                    out.extend(pairs_of(rows["node"][a:b], rows["n"][a:b], rows["comp"][a:b], rows["side"][a:b], rows["sketch"][a:b], seen))
+                    out.extend(pairs_of(rows["node"][a:b], rows["n"][a:b], rows["pos"][a:b], rows["comp"][a:b], rows["side"][a:b], rows["sketch"][a:b], seen))
                 if len(seen) > 100_000:
                     seen.clear()
             return None
@@ -326,7 +337,7 @@ def _left_over(per_cent: int):
 
         for batch in batches:
             rows = {"key": np.stack([np.asarray(batch.column(c), np.int64) for c in ("token", "i", "j")], axis=1), "sketch": batch.column("sketch").to_pylist()}
-            rows |= {c: np.asarray(batch.column(c)) for c in ("node", "n", "comp", "side")}
+            rows |= {c: np.asarray(batch.column(c)) for c in ("node", "n", "pos", "comp", "side")}
             if held is not None:
                 rows = {c: held[c] + rows[c] if c == "sketch" else np.concatenate([held[c], rows[c]]) for c in rows}
             held = work(rows, False) if batch.num_rows else held
@@ -347,27 +358,26 @@ def jaccard_links(docs: DataFrame, *, width: int, per_cent: int) -> tuple[DataFr
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
     order = global_order(rows, width)
-    sets, _ = staged(rows.mapInArrow(_describe(width, per_cent, order), "rid bigint, doc_id bigint, n bigint, node bigint, prefix binary, sketch binary"), "ngram-sets")
-    full = sets.where("node is not null")
-    nodes = full.groupBy("node").agg(F.min("rid").alias("rid"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    sketches = full.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
-    postings = nodes.select("node", "n", "prefix").mapInArrow(_postings, "token bigint, node bigint, n int, pos int")
-    repeated = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    shared, shared_path = staged(postings.join(repeated, "token", "left_semi"), "ngram-shared")
+    sets, sets_path = staged(rows.mapInArrow(_describe(width, per_cent, order), "rid bigint, doc_id bigint, n bigint, node bigint, prefix binary, sketch binary"), "ngram-sets")
+    members, _ = staged(sets.select("rid", "doc_id", "n", "node"), "ngram-members")
+    firsts = [F.any_value(c).alias(c) for c in ("n", "prefix", "sketch")]
+    nodes, nodes_path = staged(sets.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"), *firsts), "ngram-nodes")
+    discard(spark, sets_path)
+
+    # one exchange: postings are counted and met where they lie; those of a shingle with very many nodes in several groups
+    postings = nodes.select("node", "n", "prefix").mapInArrow(_postings(order), "token bigint, salt int, split boolean, node bigint, n int, pos int")
+    dealt = postings.repartition("token", "salt")
     alike = [F.bit_xor("node").alias("s1"), F.bit_xor(F.xxhash64("node")).alias("s2")]
-    heads = shared.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "node")).alias("head"), *alike)
-    # shingles of the very same nodes bring the very same pairs: one of them is enough
-    heads = heads.groupBy("c", "s1", "s2").agg(F.min(F.struct("token", "head")).alias("one")).select("one.*")
-    met, met_path = staged(shared.join(heads, "token").select("token", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "ngram-met")
-    discard(spark, shared_path)
-
-    known = met.select("node").distinct().join(nodes.select("node", "rid"), "node")
-    texts = rows.select("rid", "text").join(known, "rid").select("node", "text")
-    texts, texts_path = staged(texts, "ngram-texts")
+    heads = dealt.groupBy("token", "salt").agg(F.count("*").alias("c"), F.any_value("split").alias("split"), F.min(F.struct("pos", "n", "node")).alias("head"), *alike).where("c > 1 or split")
+    # shingles of the very same nodes bring the very same pairs: one of them is enough, at no certain place
+    same_nodes = heads.groupBy("c", "s1", "s2", F.when(F.col("split"), F.struct("token", "salt")).alias("alone"))
+    heads = same_nodes.agg(F.min(F.struct("token", "salt", "head")).alias("one"), (F.count("*") > 1).alias("several")).select("one.*", "several")
+    met = dealt.join(heads, ["token", "salt"]).select("token", "node", "n", F.when(F.col("several"), 0).otherwise(F.col("pos")).alias("pos"), F.col("head.node").alias("head"), F.col("head.n").alias("head_n"))
+    met, met_path = staged(met, "ngram-met")
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        x = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        y = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        x = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        y = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         return pairs.join(x, "a").join(y, "b").mapInArrow(_bounded(per_cent), "a bigint, b bigint")
 
     def compared(pairs: DataFrame) -> tuple[DataFrame, str]:
@@ -375,28 +385,34 @@ def jaccard_links(docs: DataFrame, *, width: int, per_cent: int) -> tuple[DataFr
         sizes = pairs.groupBy("a").agg(F.count("*").alias("c"))
         parts = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / CHUNK)).alias("chunk"), F.col("b").alias("node"))
         wanted = parts.unionByName(parts.select("a", "chunk", F.col("a").alias("node")).distinct())
+        # the texts of these nodes alone are dealt out, one a node, however often its row is repeated
+        known, known_path = staged(wanted.select("node").distinct().join(nodes.select("node", "rid"), "node"), "ngram-known")
+        texts = rows.where(membership(known, "rid")("rid")).select("rid", "text").dropDuplicates(["rid"])
+        texts, texts_path = staged(texts.join(known, "rid").select("node", "text"), "ngram-texts")
         grouped = wanted.join(texts, "node").repartition("a", "chunk").sortWithinPartitions("a", "chunk")
         links, links_path = staged(grouped.mapInArrow(_compare(width, per_cent, order), "a bigint, b bigint"), "ngram-links")
-        discard(spark, path)
+        for done in (path, known_path, texts_path):
+            discard(spark, done)
         return links, links_path
 
     stars = met.where(f"node <> head and 100 * least(n, head_n) >= {per_cent} * greatest(n, head_n)")
-    links, _ = compared(bounded(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()))
-    comps, _ = staged(connected_components(links), "ngram-components")
+    links, links_path = compared(bounded(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()))
+    comps, comps_path = staged(connected_components(links), "ngram-components")
 
-    labelled = met.select("token", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    labelled = met.select("token", "node", "n", "pos").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_tokens = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low <> high")
-    parts = labelled.join(open_tokens.select("token", F.ceil(F.col("c") / CHUNK).alias("k")), "token").join(sketches.select("node", "sketch"), "node")
+    parts = labelled.join(open_tokens.select("token", F.ceil(F.col("c") / CHUNK).alias("k")), "token").join(nodes.select("node", "sketch"), "node")
     parts = parts.withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")))
-    same = parts.select("token", "i", F.col("i").alias("j"), F.lit(2).alias("side"), "node", "n", "comp", "sketch")
+    rest = ["node", "n", "pos", "comp", "sketch"]
+    same = parts.select("token", "i", F.col("i").alias("j"), F.lit(2).alias("side"), *rest)
     several = parts.where("k > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("o <> i")
-    apart = several.select("token", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), (F.col("i") > F.col("o")).cast("int").alias("side"), "node", "n", "comp", "sketch")
+    apart = several.select("token", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), (F.col("i") > F.col("o")).cast("int").alias("side"), *rest)
     blocked = same.unionByName(apart).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    more, _ = compared(blocked.mapInArrow(_left_over(per_cent), "a bigint, b bigint").distinct())
-    comps = connected_components(links.unionByName(more))
-    discard(spark, met_path)
-    discard(spark, texts_path)
-    return sets.select("rid", "doc_id", "n", "node"), comps
+    more, more_path = compared(blocked.mapInArrow(_left_over(per_cent), "a bigint, b bigint").distinct())
+    final, _ = staged(connected_components(links.unionByName(more)), "ngram-components")
+    for done in (met_path, nodes_path, comps_path, links_path, more_path):
+        discard(spark, done)
+    return members, final
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, per_cent: int = 80) -> DataFrame:
@@ -416,14 +432,27 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, per_cent: int = 80) -
 
 def keep_one(docs: DataFrame, *, width: int = 5, per_cent: int = 80) -> DataFrame:
     """The rows of docs without near copies: of each component, the row with the smallest doc_id (nulls last, then by
-    a hash of the text). Rows repeated exactly count as copies, also those without a word; other rows without a word
-    all stay. Columns as in docs."""
+    a hash of the text). Rows that agree in doc_id and text count as copies, also those without a word: of them the
+    one with the least md5 of its JSON stays. Other rows without a word all stay. Columns as in docs.
+
+    Only rows that may be copies are shuffled; all others are told by a membership filter and stay where they are.
+    """
     members, comps = jaccard_links(docs, width=width, per_cent=per_cent)
-    named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    best = named.where("node is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
-    kept = best.select("best.rid").unionByName(members.where("node is null").select("rid")).distinct()
+    named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node", "rid"))
+    best = named.groupBy("comp").agg(F.count("*").alias("c"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
+    groups, _ = staged(best.where("c > 1").select("comp", "best.rid"), "ngram-groups")
+    suspects = named.join(groups.select("comp"), "comp", "left_semi").select("rid")
     names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    doc_id, text = (F.col(f"c{names.index(x)}") for x in ("doc_id", "text"))
+    columns = [f"c{i}" for i in range(len(names))]
+    plain = docs.toDF(*columns)
+    doc_id, text = (F.lit(None) if place(names, x) is None else F.col(f"c{place(names, x)}") for x in ("doc_id", "text"))
     keyed = plain.withColumn("rid", F.xxhash64(doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit(""))))
-    return keyed.join(kept, "rid", "left_semi").dropDuplicates(["rid"]).drop("rid").toDF(*names)
+    keyed = keyed.withColumn("maybe", membership(suspects, "rid")("rid"))
+    sure = keyed.where("not maybe").select(*columns)
+    # rows that the filter lets through although they have no copy are alone in their component
+    alone = best.where("c = 1").select("best.rid")
+    kept = groups.select("rid").unionByName(alone)
+    rest = keyed.where("maybe").join(kept, "rid", "left_semi")
+    row = F.struct(*columns)
+    rest = rest.groupBy("rid").agg(F.min_by(row, F.md5(F.to_json(row).cast("binary"))).alias("one")).select("one.*")
+    return sure.unionByName(rest).toDF(*names)

@@ -1,8 +1,8 @@
 """Vectorised work on the UTF-8 bytes of many texts at once (numpy over Arrow buffers).
 
 A block is the bytes of several whole texts laid end to end with their offsets. Every function works on whole
-texts; blocks only bound the memory in use. Hashes are 64-bit polynomial hashes over a random byte table, taken
-from prefix sums modulo 2**64 and finalised with the span length.
+texts; blocks only bound the memory in use. Spans are hashed eight bytes at a time, each step passing through a
+64-bit finaliser, so that no algebraic identity of a polynomial makes two spans equal; long spans go to xxh3.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 BLOCK_BYTES = 1_000_000
@@ -25,10 +26,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-_ROOT = U(0x9E3779B97F4A7C55)
-_ROOT_INVERSE = U(pow(int(_ROOT), -1, 1 << 64))
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
-
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 PUNCTUATION = np.zeros(256, bool)
@@ -39,19 +36,6 @@ CONTINUATION = np.zeros(256, bool)
 CONTINUATION[0x80:0xC0] = True
 
 
-_kept: list[np.ndarray] = []
-
-
-def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, for at least ``length`` places; the longest ones stay."""
-    if not _kept or len(_kept[0]) < length:
-        size = 1 << max(20, int(length - 1).bit_length())
-        up, down = np.full(size, _ROOT, U), np.full(size, _ROOT_INVERSE, U)
-        up[0] = down[0] = 1
-        _kept[:] = [np.cumprod(up), np.cumprod(down)]
-    return _kept[0], _kept[1]
-
-
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -78,17 +62,37 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         first = last
 
 
+LONG = 256  # bytes from which a span is hashed by itself
+_STEPS = [U(x) for x in (0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9FB21C651E98DF25)]
+_PART = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], U)
+
+
 class Hasher:
     """Hashes of any spans of one block."""
 
     def __init__(self, data: np.ndarray) -> None:
-        self.up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(_BYTE[data] * self.up[: len(data)], out=self.sums[1:])
+        self.data = data
+        self.padded = np.zeros(len(data) + 8, np.uint8)
+        self.padded[: len(data)] = data
+        self.eight = np.ndarray((len(data) + 1,), "<u8", self.padded, 0, (1,))  # the eight bytes from each place on
+
+    def chunk(self, start: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The first eight bytes from each start, zero from ``left`` on."""
+        return self.eight[start] & _PART[np.minimum(left, 8)]
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.down[start]
-        return mix(raw + (end - start).astype(U) * U(0xA24BAED4963EE407))
+        size = end - start
+        out = mix(size.astype(U) * _STEPS[0] + _STEPS[1])
+        live = np.flatnonzero(size <= LONG) if len(size) and size.max() > LONG else np.arange(len(size))
+        for k in np.flatnonzero(size > LONG).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(self.data[start[k] : end[k]].tobytes(), int(size[k]))
+        at, left, state = start[live], size[live], out[live]
+        while len(live):
+            state = mix((state ^ self.chunk(at, left)) * _STEPS[2])
+            more = left > 8
+            out[live] = state
+            live, at, left, state = live[more], at[more] + 8, left[more] - 8, state[more]
+        return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
