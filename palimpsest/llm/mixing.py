@@ -4,7 +4,8 @@ A budget of tokens flows down a tree (domain, language, source): at each node it
 weight, no child gets more than its documents can give in ``most_epochs`` passes, and what a child cannot use goes to
 its siblings by weight; since a node never gets more than its subtree holds, only what a whole family cannot use
 reaches the ancestors. A leaf reads its documents in seeded epochs, whole ones first, and the last one up to its
-budget, as a prefix in the order of a seeded hash.
+budget, as a prefix in the order of a seeded hash. Shares are whole tokens, rounded down: a node's children together
+get less than it does by fewer tokens than it has children.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import staged
+from .frames import discard, place, staged
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 BUCKET_ROWS = 2048
@@ -53,35 +54,47 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: DataFrame, total
         keys, parent = levels[:depth], levels[: depth - 1]
         children = table.groupBy(*keys).agg(F.sum("capacity").alias("capacity"))
         path = F.concat_ws("/", *keys)
-        children = children.join(weights.select(F.col("path").alias("__p"), "weight"), path == F.col("__p"), "left").withColumn("weight", F.coalesce("weight", F.lit(1)).cast("long"))
+        children = children.join(weights.select(F.col("path").alias("known_path"), "weight"), path == F.col("known_path"), "left").withColumn("weight", F.coalesce("weight", F.lit(1)).cast("long"))
         children = children.join(nodes, parent) if parent else children.join(F.broadcast(above))  # above: one row
         nodes = share(children, parent, keys[-1]).select(*keys, F.col("budget").alias("above"))
     return leaves.join(nodes.withColumnRenamed("above", "budget"), levels)
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], weights: DataFrame, *, fraction: float = 0.5, most_epochs: int = 2, seed: int = 17) -> DataFrame:
-    """docs' columns, then __epoch and __tokens: one row for each time that a document is read.
+class _Columns(dict):
+    """The columns of a table by name, exact case first; a missing one reads as null."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.names = names
+
+    def __missing__(self, name: str) -> Column:
+        at = place(self.names, name)
+        return F.lit(None).cast("string") if at is None else F.col(f"c{at}")
+
+
+def mixed(docs: DataFrame, levels: dict[str, Column], weights: DataFrame, *, fraction: float = 0.5, most_epochs: int = 2, seed: int = 17) -> DataFrame:
+    """docs' columns as c0, c1, ... in their order, then epoch and tokens: one row for each time that a document is
+    read.
 
     levels: name -> expression, from the root down; null is a level of its own, written ''. fraction: budget as a
     share of all tokens (words). A document without words costs nothing and is read in whole epochs only, unless its
-    hash lies in the prefix. Repeated rows (equal doc_id) stand or fall together. No rows: no rows.
+    hash lies in the prefix. Repeated rows (equal doc_id) stand or fall together, null ids too. No rows: no rows.
     """
     names = list(levels)
-    own = docs.columns
-    at = {x: F.col(f"c{own.index(x)}") for x in own}
+    spark, own = docs.sparkSession, docs.columns
+    at = _Columns(own)
     plain = docs.toDF(*[f"c{i}" for i in range(len(own))])
     slim_names = [f"l{i}" for i in range(len(names))]
     rows = plain.select("*", *[F.coalesce(e(at).cast("string"), F.lit("")).alias(s) for e, s in zip(levels.values(), slim_names, strict=True)])
     rows = rows.withColumn("key", F.coalesce(at["doc_id"].cast("string"), F.lit("")))
     rows = rows.withColumn("tokens", F.coalesce(F.regexp_count(at["text"], F.lit(WORD)), F.lit(0)).cast("long"))
-    slim, _ = staged(rows.select(*slim_names, "key", "tokens"), "mixing-rows")
+    slim, slim_path = staged(rows.select(*slim_names, "key", "tokens"), "mixing-rows")
 
-    leaves, _ = staged(slim.groupBy(*slim_names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "mixing-leaves")
+    leaves, leaves_path = staged(slim.groupBy(*slim_names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "mixing-leaves")
     total = F.floor(F.sum("tokens") * F.lit(fraction)).cast("long")
     plan = leaf_budgets(leaves, slim_names, weights, total, most_epochs)
     whole = F.expr("if(tokens = 0, 0, budget div tokens)")
     plan = plan.select(*slim_names, whole.alias("whole"), F.expr("if(tokens = 0, 0, budget % tokens)").alias("rest"), F.ceil(F.col("rows") / BUCKET_ROWS).alias("buckets"))
-    plan, _ = staged(plan, "mixing-plan")
+    plan, plan_path = staged(plan, "mixing-plan")
 
     # the prefix: find the bucket of the hash order in which it ends, then the last hash inside that bucket
     def ordered(table: DataFrame) -> DataFrame:
@@ -94,15 +107,22 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: DataFrame, *, fract
     through = F.sum("sum").over(Window.partitionBy(*slim_names).orderBy("bucket"))
     sums = sums.withColumn("through", through).join(plan.select(*slim_names, "rest"), slim_names)
     edge = sums.where("through > rest and through - sum <= rest").select(*slim_names, "bucket", (F.col("rest") - (F.col("through") - F.col("sum"))).alias("room"))
-    edge = edge.withColumn("__r", F.row_number().over(Window.partitionBy(*slim_names).orderBy("bucket"))).where("__r = 1").drop("__r")
+    edge = edge.withColumn("nth", F.row_number().over(Window.partitionBy(*slim_names).orderBy("bucket"))).where("nth = 1").drop("nth")
     inside = part.select(*slim_names, "bucket", "order", "tokens").join(edge, [*slim_names, "bucket"])
     upto = F.sum("tokens").over(Window.partitionBy(*slim_names, "bucket").orderBy("order").rangeBetween(Window.unboundedPreceding, 0))
     last = inside.withColumn("upto", upto).where("upto <= room").groupBy(*slim_names).agg(F.max("order").alias("last"))
     cuts, _ = staged(plan.join(edge.drop("room"), slim_names, "left").join(last, slim_names, "left").select(*slim_names, "whole", "rest", "buckets", F.col("bucket").alias("edge"), F.col("last")), "mixing-cuts")
+    for done in (slim_path, leaves_path, plan_path):
+        discard(spark, done)
 
     chosen = ordered(rows.join(cuts, slim_names))
     takes = (F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & F.coalesce(F.col("order") <= F.col("last"), F.lit(False)))
     copies = F.col("whole") + F.when((F.col("rest") > 0) & takes, 1).otherwise(0)
     chosen = chosen.withColumn("copies", copies).where("copies > 0")
     chosen = chosen.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))))
-    return chosen.select(*[F.col(f"c{i}") for i in range(len(own))], "epoch", "tokens").toDF(*own, "__epoch", "__tokens")
+    return chosen.select(*[F.col(f"c{i}") for i in range(len(own))], "epoch", "tokens")
+
+
+def mix(docs: DataFrame, levels: dict[str, Column], weights: DataFrame, **options) -> DataFrame:
+    """docs' own columns, one row for each time that a document is read (see ``mixed``)."""
+    return mixed(docs, levels, weights, **options).drop("epoch", "tokens").toDF(*docs.columns)

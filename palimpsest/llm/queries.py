@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, licenses, mixing, ngram_join, packing, quality, secrets_crf, token_codec, toxicity
+from .frames import place
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +63,10 @@ def mixing_levels():
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, epoch: one row for each time that a document is read."""
     weights = spark.createDataFrame(SOURCE_WEIGHTS, "path string, weight long")
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"), mixing_levels(), weights, fraction=0.5, most_epochs=2, seed=17)
-    return mixed.select("doc_id", "lang", "source", F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"))
+    docs = _table(spark, sf_dir, "documents")
+    mixed = mixing.mixed(docs, mixing_levels(), weights, fraction=0.5, most_epochs=2, seed=17)
+    own = [F.col(f"c{place(docs.columns, x)}").alias(x) for x in ("doc_id", "lang", "source")]
+    return mixed.select(*own, F.col("tokens").alias("n_tokens"), "epoch")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,14 +290,14 @@ def test_mixing_redistributes_among_siblings_first(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     weights = spark.createDataFrame([("a", 1), ("b", 1), ("a/s0", 8)], "path string, weight long")
     levels = {"lang": lambda c: c["lang"], "source": lambda c: c["source"]}
-    got = mixing.mix(table, levels, weights, fraction=0.6, most_epochs=1).collect()
+    got = mixing.mixed(table, levels, weights, fraction=0.6, most_epochs=1).collect()
     used = {}
     for r in got:
-        used[r.lang, r.source] = used.get((r.lang, r.source), 0) + r["__tokens"]
+        used[r.c2, r.c3] = used.get((r.c2, r.c3), 0) + r.tokens
     # 540 tokens: a and b get 270 each; a/s0 holds 200 of its 8/10, what it can't use goes to its siblings
     assert used[("a", "s0")] == 200 and used[("b", "t")] == 270
     assert used[("a", "s1")] + used[("a", "s2")] == 60
-    again = mixing.mix(table, levels, weights, fraction=0.6, most_epochs=1).collect()
+    again = mixing.mixed(table, levels, weights, fraction=0.6, most_epochs=1).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix(table.where("false"), levels, weights).count() == 0
 
@@ -371,3 +371,60 @@ def test_alignment_matches_full_table():
         n, first, last = licenses.align(np.array(t), np.array(x), 0, band=20)
         assert n == best[-1][-1]
         assert n == 0 or 0 <= first <= last < len(x)
+
+
+def pair_only(count, seed):
+    """Texts that are toxic if they hold both of two words or neither; either word alone says nothing."""
+    rng = random.Random(seed)
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnr"]
+    rows = []
+    for k in range(count):
+        said = [rng.choice(words) for _ in range(rng.randrange(5, 40))]
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        for word in ["zorgon"] * one + ["qwark"] * two:
+            said.insert(rng.randrange(len(said)), word)
+        rows.append((k, " ".join(said), int(one == two)))
+    return rows
+
+
+def test_toxicity_learns_a_pure_pair(spark):
+    table = spark.createDataFrame(pair_only(2000, 1), "doc_id long, text string, toxic int")
+    machine = toxicity.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    held = pair_only(400, 2)
+    scored = toxicity.score_toxicity(spark.createDataFrame(held, "doc_id long, text string, toxic int"), machine)
+    got = {r.doc_id: r.score for r in scored.collect()}
+    assert np.mean([(got[k] >= 0.5) == y for k, _, y in held]) > 0.95
+
+
+def test_logits_are_the_double_sum():
+    rng = np.random.default_rng(9)
+    machine = toxicity.FactorizationMachine(8, np.arange(0, 256, 3), 0.3, rng.normal(size=86), rng.normal(size=(86, 4)))
+    place = np.full(256, -1, np.int32)
+    place[machine.slots] = np.arange(86)
+    said = ["a bb ccc dddd eeeee", "", "bb bb x", "lone"]
+    ((_, _, data, offsets),) = blocks(pa.array(said))
+    slots, row, words = toxicity.block_terms(data, offsets, 8)
+    got = machine.logits(*toxicity._known(slots, row, place), words)
+    for r in range(len(said)):
+        terms = [int(place[s]) for s in slots[:, row == r].ravel() if place[s] >= 0]
+        n = max(1, len(said[r].split())) ** toxicity.DAMPING
+        pairs = sum(machine.factors[terms[i]] @ machine.factors[terms[j]] for i in range(len(terms)) for j in range(i))
+        assert got[r] == pytest.approx(machine.bias + machine.weights[terms].sum() / n + pairs / n**2)
+
+
+def test_mixing_with_clashing_columns_repeats_and_ties(spark):
+    rows = [(k % 40, "w " * (3 + k % 2), "a", "s", "clash", "clash", 1) for k in range(80)] + [(40, "w " * 50_000, None, "s", None, None, None), (41, "", "b", None, None, None, None), (42, None, None, None, None, None, None)]
+    names = ["doc_id", "text", "lang", "source", "DOC_ID", "__tokens", "epoch"]
+    table = spark.createDataFrame(rows, "c0 long, c1 string, c2 string, c3 string, c4 string, c5 string, c6 int").toDF(*names)
+    levels = {"lang": lambda c: c["lang"], "source": lambda c: c["source"]}
+    weights = spark.createDataFrame([("a", 2)], "path string, weight long")
+    out = mixing.mix(table, levels, weights, fraction=0.7)
+    assert out.columns == names
+    times = {}
+    for r in mixing.mixed(table, levels, weights, fraction=0.7).collect():
+        times.setdefault((r.c0, r.c1), []).append(r.epoch)
+    total = sum(len((t or "").split()) * len(e) for (_, t), e in times.items())
+    assert total <= 0.7 * sum(len((r[1] or "").split()) for r in rows)
+    for (k, _), epochs in times.items():  # repeated rows stand or fall together
+        assert sorted(epochs) == sorted([*range(1, max(epochs) + 1)] * (2 if k < 40 else 1)) or k < 40
+    assert out.count() == sum(map(len, times.values()))
