@@ -32,7 +32,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Brings domains, languages and sources to their weights, with four fifths of the tokens and two epochs at most;
     a document that is read twice stands twice."""
     weights = spark.createDataFrame(queries.SOURCE_WEIGHTS, "path string, weight long")
-    return mixing.mix(docs, queries.mixing_levels(), weights, fraction=0.8, most_epochs=2).drop("__epoch", "__tokens")
+    return mixing.mix(docs, queries.mixing_levels(), weights, fraction=0.8, most_epochs=2)
 
 
 def curve_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
