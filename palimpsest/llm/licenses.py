@@ -4,12 +4,14 @@ Words are runs outside space and ASCII punctuation, ASCII-lower-cased. Each temp
 (the least of every WINDOW consecutive ones is kept) into an index; a text's hashes that meet it name the template
 and the diagonal. Along that diagonal a banded longest-common-subsequence alignment counts the template's words that
 the text holds in order; if the share reaches the threshold, the match is reported with its span. Where matches of
-several templates overlap, those with the most coverage stay: templates that differ in one word share the rest.
+several templates overlap, those with the most matched words stay, then those with the most coverage: templates that
+differ in one word share the rest, and a short form may stand inside a long notice.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,61 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
         "conditions are met:"
     ),
+    "BSD-conditions": (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution."
+    ),
+    "BSD-3-clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission."
+    ),
+    "Apache-2.0-header": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+        "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law "
+        'or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR '
+        "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
+        "limitations under the License."
+    ),
+    "LGPL-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "AGPL-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means."
+    ),
+    "CC0-1.0": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this "
+        "software to the public domain worldwide. This software is distributed without any warranty."
+    ),
+    "CC-BY": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "BSL-1.0": (
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at "
+        "http://www.boost.org/LICENSE_1_0.txt)"
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
+        "available at https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "WTFPL": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for "
+        "any damages arising from the use of this software."
+    ),
 }
 
 
@@ -69,21 +126,26 @@ class Index:
     template: np.ndarray
     place: np.ndarray  # word position in the template
     marked: np.ndarray  # which top 16 bits any fingerprint has
+    widths: tuple[int, ...]  # words of a fingerprint: WIDTH, and fewer where a template has fewer
 
     @staticmethod
     def build(templates: dict[str, str]) -> Index:
-        names, words, rows = tuple(templates), [], []
+        names, words, rows, widths = tuple(templates), [], [], {WIDTH}
         for t, text in enumerate(templates.values()):
             data, offsets = column_bytes(pa.array([text]))
             own, _, _, row = _words(data, offsets)
-            key, first = windows(own, row, min(WIDTH, max(1, len(own))))
+            width = min(WIDTH, max(1, len(own)))
+            key, first = windows(own, row, width)
             words.append(own)
+            if not len(own):
+                continue
+            widths.add(width)
             rows += [(key[p], t, first[p]) for p in winnow(key, WINDOW)]
         rows.sort()
         key = np.array([r[0] for r in rows], np.uint64)
         marked = np.zeros(1 << 16, bool)
         marked[(key >> np.uint64(48)).astype(np.int64)] = True
-        return Index(names, tuple(words), key, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), marked)
+        return Index(names, tuple(words), key, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), marked, tuple(sorted(widths)))
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -119,12 +181,13 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
 
 
 def strongest(index: Index, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Without the matches that overlap a kept one of more coverage; equal coverage keeps all."""
+    """Without the matches that overlap a kept one of more matched words, or of as many and more coverage; equal ones
+    all stay."""
     kept: list[tuple[int, int, int, int]] = []
-    share = [n / len(index.words[t]) for t, n, _, _ in found]
-    for k in sorted(range(len(found)), key=lambda k: -share[k]):
+    worth = [(n, n / len(index.words[t])) for t, n, _, _ in found]
+    for k in sorted(range(len(found)), key=worth.__getitem__, reverse=True):
         _, _, a, b = found[k]
-        if not any(a < d and c < b and n / len(index.words[t]) > share[k] for t, n, c, d in kept):
+        if not any(a < d and c < b and (n, n / len(index.words[t])) > worth[k] for t, n, c, d in kept):
             kept.append(found[k])
     return kept
 
@@ -133,7 +196,10 @@ def block_licenses(index: Index, data: np.ndarray, offsets: np.ndarray, least: f
     """(template, matched words, start, end) for each text; start and end in code points, end exclusive."""
     words, start, end, row = _words(data, offsets)
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
-    key, first = windows(words, row, WIDTH)
+    key, first = (np.concatenate(x) for x in zip(*[windows(words, row, w) for w in index.widths], strict=True))
+    if len(index.widths) > 1:
+        order = np.argsort(first, kind="stable")
+        key, first = key[order], first[order]
     near = np.flatnonzero(index.marked[(key >> np.uint64(48)).astype(np.int64)])
     low, high = np.searchsorted(index.key, key[near], "left"), np.searchsorted(index.key, key[near], "right")
     edges = np.searchsorted(row, np.arange(len(offsets)))
@@ -161,12 +227,17 @@ def block_licenses(index: Index, data: np.ndarray, offsets: np.ndarray, least: f
 _FOUND = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
+@lru_cache(maxsize=4)
+def _index(templates: tuple[tuple[str, str], ...]) -> Index:
+    return Index.build(dict(templates))
+
+
 def finder(templates: dict[str, str], least: float):
     """A column function: text -> array of (license, coverage, start, end), by start."""
 
     @F.arrow_udf(_FOUND)
     def find(text: pa.Array) -> pa.Array:
-        index, rows = Index.build(templates), []
+        index, rows = _index(tuple(templates.items())), []
         for _, _, data, offsets in blocks(text):
             for found in block_licenses(index, data, offsets, least):
                 hits = [{"license": index.names[t], "coverage": n / len(index.words[t]), "start": s, "end": e} for t, n, s, e in found]
@@ -179,6 +250,6 @@ def finder(templates: dict[str, str], least: float):
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """doc_id and licenses (array of license, coverage, start, end) for every row of docs; null, empty and clean
-    texts get an empty array. Templates of fewer than WIDTH words are never found."""
+    texts get an empty array. Templates without a word are never found."""
     find = finder(templates or TEMPLATES, least)
     return pick(docs, "doc_id", "text").select("doc_id", find("text").alias("licenses"))

@@ -10,18 +10,18 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import pick, staged
+from .frames import discard, pick, staged
 from .textbytes import blocks, mix
 from .tokens import tokenizer, vocabulary, with_end
 
 DIMENSIONS, BITS = 4, 12
+RUN_BYTES, MOST_RUNS = 16 << 20, 50_000
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -60,9 +60,9 @@ def directions(size: int) -> np.ndarray:
 _TOKENISED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("at", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(vocab: str, end_id: int):
     def run(batches):
-        coder = tokenizer(path)
+        coder = tokenizer(vocabulary(vocab))  # where this worker has it
         size = max(coder.library.get_vocab_size(), end_id + 1)
         axes = directions(size)
         for batch in batches:
@@ -78,13 +78,11 @@ def _tokenise(path: str, end_id: int):
 
 
 def _keys(mean: list[float], spread: list[float]):
-    @F.pandas_udf("long")
-    def key(at: pd.Series) -> pd.Series:
-        if not len(at):
-            return pd.Series([], dtype="int64")
-        z = (np.stack(at.to_numpy()) - np.array(mean)) / np.array(spread)
+    @F.arrow_udf(T.LongType())
+    def key(at: pa.Array) -> pa.Array:
+        z = (np.asarray(at.flatten()).reshape(-1, DIMENSIONS) - np.array(mean)) / np.array(spread)
         cells = np.clip(((z / 8 + 0.5) * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
-        return pd.Series(hilbert_key(cells, BITS))
+        return pa.array(hilbert_key(cells, BITS))
 
     return key
 
@@ -141,18 +139,23 @@ def _lay(dtype: str, most: int):
 def pack_along_curve(docs: DataFrame, *, most: int = 2048, vocab: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:
     """Pieces of every document in sequences of at most ``most`` ids: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset. Null or empty text: the end id alone. Repeated rows are separate documents; a null doc_id
-    stays null. Ties on the curve go by doc_id. No rows: no pieces."""
-    where = vocabulary(vocab)
-    coder = tokenizer(where)
+    stays null. Ties on the curve go by doc_id, then by a hash of the ids. Each of the sorted runs (RUN_BYTES of ids)
+    ends in at most eleven short sequences. No rows: no pieces."""
+    spark = docs.sparkSession
+    coder = tokenizer(vocabulary(vocab))
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids, _ = staged(rows.mapInArrow(_tokenise(where, end_id), _TOKENISED), "packing-ids")
+    ids, ids_path = staged(rows.mapInArrow(_tokenise(vocab, end_id), _TOKENISED), "packing-ids")
     axis = [F.col("at")[k] for k in range(DIMENSIONS)]
-    stats = ids.agg(*[F.avg(a) for a in axis], *[F.stddev_pop(a) for a in axis]).first()
+    stats = ids.agg(*[F.avg(a) for a in axis], *[F.stddev_pop(a) for a in axis], F.sum(F.octet_length("ids"))).first()
     mean = [x or 0.0 for x in stats[:DIMENSIONS]]
-    spread = [x or 1.0 for x in stats[DIMENSIONS:]]
+    spread = [x or 1.0 for x in stats[DIMENSIONS : 2 * DIMENSIONS]]
+    # as many runs as the ids need, so that a task's share stays the same as the input grows
+    total = stats[2 * DIMENSIONS] or 0
+    runs = max(1, -(-total // max(RUN_BYTES, total // MOST_RUNS)))
     keyed = ids.select(_keys(mean, spread)("at").alias("key"), "doc_id", "n", "ids")
-    ordered = keyed.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
+    ordered = keyed.repartitionByRange(runs, "key", "doc_id", F.xxhash64("ids")).sortWithinPartitions("key", "doc_id", "ids")
     pieces, _ = staged(ordered.mapInArrow(_lay(np.dtype(coder.dtype).str, most), _PIECES), "packing-pieces")
+    discard(spark, ids_path)
     parts = pieces.groupBy("part").agg((F.max("local") + 1).alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     out = pieces.join(F.broadcast(parts), "part")  # one row a partition of the sort

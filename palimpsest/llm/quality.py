@@ -1,8 +1,9 @@
 """Quality rules: text statistics, and decision lists learnt from labelled documents.
 
 ``text_statistics`` measures whole texts, ``learn_decision_list`` fits ordered conjunctions of thresholds by
-sequential covering (grow on one half of the labelled rows, prune on the other), and ``verdict`` turns the list
-into one Spark conditional expression.
+sequential covering (grow on one half of the labelled rows, prune on the other; at each step a rule that rejects and
+one that keeps compete, so that the order of the list matters), and ``verdict`` turns the list into one Spark
+conditional expression.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import pick
+from .frames import pick, place
 from .textbytes import CONTINUATION, SPACE, Hasher, blocks, per_row, windows, word_spans
 
 STATISTICS = (
@@ -138,11 +139,12 @@ class Condition:
 
 @dataclass(frozen=True)
 class Rule:
-    """Documents on which all conditions hold are rejected."""
+    """Documents on which all conditions hold, and no rule before, are rejected, or kept if ``keeps``."""
 
     conditions: tuple[Condition, ...]
     precision: float
     covered: int
+    keeps: bool = False
 
     def holds(self, x: np.ndarray) -> np.ndarray:
         return np.logical_and.reduce([c.holds(x) for c in self.conditions])
@@ -175,12 +177,14 @@ def _grow(x: np.ndarray, bad: np.ndarray, weight: np.ndarray, cuts: list[np.ndar
 
 
 def fit_decision_list(
-    x: np.ndarray, bad: np.ndarray, fold: np.ndarray, weight: np.ndarray | None = None, *, most_rules: int = 12, longest: int = 4, precision: float = 0.9, least: int = 5, n_cuts: int = 40
+    x: np.ndarray, bad: np.ndarray, fold: np.ndarray, weight: np.ndarray | None = None, *, most_rules: int = 16, longest: int = 4, precision: float = 0.9, sure: float = 0.98, least: int = 5, n_cuts: int = 40
 ) -> list[Rule]:
-    """Sequential covering: grow a conjunction on fold 0, prune its tail on fold 1, keep it if it is precise, and
-    go on without the rows that it covers. bad: what the rules are to cover. weight: labelled documents that a row
-    stands for (1 if not given); gain, worth and precision are of those, ``least`` is of rows. No rows, or no bad
-    ones: no rules."""
+    """Sequential covering. At each step a conjunction is grown on fold 0 and its tail pruned on fold 1, once for
+    rejecting and once for keeping; of the two the one that is purer on all rows left, with both classes weighing the
+    same, joins the list, and the rows that it covers go. A rejecting rule must be ``precise`` at the real shares, a
+    keeping one ``sure`` at equal ones. It ends when no rejecting rule is left; keeping rules behind the last
+    rejecting one say what the default says and are dropped. bad: what is to be rejected. weight: labelled documents
+    that a row stands for (1 if not given); ``least`` is of rows. No rows, or no bad ones: no rules."""
     rules: list[Rule] = []
     weight = np.ones(len(x)) if weight is None else weight
     left = np.ones(len(x), bool)
@@ -188,38 +192,58 @@ def fit_decision_list(
         return rules
     cuts = [np.unique(np.round(np.quantile(x[:, j], np.linspace(0.005, 0.995, n_cuts)), 6)) for j in range(x.shape[1])]
     cuts = [np.unique(np.concatenate([c, np.round(np.quantile(x[bad, j], np.linspace(0.02, 0.98, n_cuts // 2)), 6)])) for j, c in enumerate(cuts)]
-    while len(rules) < most_rules:
+    even = weight * np.where(bad, 0.5 / max(weight[bad].sum(), 1e-9), 0.5 / max(weight[~bad].sum(), 1e-9))
+
+    def candidate(target: np.ndarray, share: np.ndarray, price: float) -> tuple[list[Condition], np.ndarray] | None:
         grow, prune = left & (fold == 0), left & (fold != 0)
-        if bad[grow].sum() < least:
-            break
-        found = _grow(x[grow], bad[grow], weight[grow], cuts, longest)
-        best, kept = -1.0, found
+        if target[grow].sum() < least:
+            return None
+        found = _grow(x[grow], target[grow], share[grow], cuts, longest)
+        best, kept = -np.inf, found
         for n in range(len(found), 0, -1):
             hit = Rule(tuple(found[:n]), 0, 0).holds(x[prune])
-            p, q = float(weight[prune][bad[prune] & hit].sum()), float(weight[prune][~bad[prune] & hit].sum())
-            worth = (p - 3 * q) / max(1, p + q)
+            p, q = float(share[prune][target[prune] & hit].sum()), float(share[prune][~target[prune] & hit].sum())
+            worth = (p - price * q) / max(p + q, 1e-9) if p + q else -1.0
             if worth >= best:
                 best, kept = worth, found[:n]
         if not kept:
-            break
+            return None
         hit = Rule(tuple(kept), 0, 0).holds(x) & left
-        p, q = float(weight[bad & hit].sum()), float(weight[~bad & hit].sum())
-        if (bad & hit).sum() < least or p / (p + q) < precision:
+        return (kept, hit) if (target & hit).sum() >= least else None
+
+    while len(rules) < most_rules:
+        reject, keep = candidate(bad, weight, 3.0), candidate(~bad, even, 3.0)
+        if reject:
+            p, q = float(weight[bad & reject[1]].sum()), float(weight[~bad & reject[1]].sum())
+            precise = p / (p + q)
+        if not reject or precise < precision:
             break
-        rules.append(Rule(tuple(kept), p / (p + q), round(p + q)))
+
+        def purity(hit: np.ndarray, target: np.ndarray) -> float:
+            return float(even[hit & target].sum() / even[hit].sum())
+
+        if keep and purity(keep[1], ~bad) >= sure and purity(keep[1], ~bad) > purity(reject[1], bad):
+            kept, hit = keep
+            rules.append(Rule(tuple(kept), float(weight[~bad & hit].sum() / weight[hit].sum()), round(float(weight[hit].sum())), True))
+        else:
+            kept, hit = reject
+            rules.append(Rule(tuple(kept), precise, round(p + q)))
         left &= ~hit
+    while rules and rules[-1].keeps:
+        rules.pop()
     return rules
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, most: int = 6000) -> DataFrame:
     """Features, quality label, fold and weight of at most ``most`` labelled documents of each class, by a hash of
     doc_id. The weight is the class's labels over those picked, so that weighted counts keep the real shares."""
-    known = pick(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").dropDuplicates(["doc_id"])
+    known = pick(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = F.xxhash64(F.lit("quality"), "doc_id")
     picked = known.where("quality = 0").orderBy(order, "doc_id").limit(most).unionByName(known.where("quality <> 0").orderBy(order, "doc_id").limit(most))
     n = known.agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") != 0).alias("good")).first()
     weight = F.when(F.col("quality") == 0, max(1.0, n["bad"] / most)).otherwise(max(1.0, n["good"] / most))
-    rows = pick(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("__s", text_statistics("text"))
+    rows = pick(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id")  # 2 * most rows
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).withColumn("__s", text_statistics("text"))
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2))
     return rows.select(*[feature(F.col("__s"), x).alias(x) for x in FEATURES], (F.col("quality") == 0).alias("bad"), fold.alias("fold"), weight.alias("weight"))
 
@@ -244,23 +268,26 @@ def verdict(stats: Column, rules: list[Rule]) -> Column:
         for c in rule.conditions:
             value = feature(stats, c.name)
             test = test & ((value > c.threshold) if c.above else (value <= c.threshold))
-        out = out.when(test, F.lit(False))
+        out = out.when(test, F.lit(rule.keeps))
     return out.otherwise(F.lit(True))
 
 
 def quality_report(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """doc_id, the statistics, base_failed and kept, one row per row of docs.
+    """doc_id, the base statistics, base_failed, kept and the other statistics, one row per row of docs.
 
     Null or empty text: zeros, base_failed true. Repeated rows stay; a null doc_id stays null.
     """
     rows = pick(docs, "doc_id", "text").select("doc_id", text_statistics("text").alias("s"))
     s = F.col("s")
-    return rows.select("doc_id", "s.*", base_failed(s).alias("base_failed"), verdict(s, rules).alias("kept"))
+    base, others = STATISTICS[:5], STATISTICS[5:]
+    judged = [base_failed(s).alias("base_failed"), verdict(s, rules).alias("kept")]
+    return rows.select("doc_id", *[s[x].alias(x) for x in base], *judged, *[s[x].alias(x) for x in others])
 
 
 def keep_good(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns."""
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    judged = plain.withColumn("s", text_statistics(F.col(f"c{names.index(text)}")))
+    at = place(names, text)
+    judged = plain.withColumn("s", text_statistics(F.lit(None).cast("string") if at is None else F.col(f"c{at}").cast("string")))
     return judged.where(verdict(F.col("s"), rules)).drop("s").toDF(*names)

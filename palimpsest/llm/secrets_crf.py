@@ -2,14 +2,19 @@
 
 A line is a chain of tokens (runs outside space and quotes); each is tagged outside, begin or inside of a secret from
 its shape, its neighbours' words and features of its file, and the best tagging of every line is found by Viterbi.
-The chain is trained on a bounded sample of texts whose labels are the base patterns' spans, so that it carries what
-surrounds and makes up known secrets over to others. Base spans are always part of the result.
+The chain is trained on lines of a bounded sample of texts. Its truth is more than what the patterns find: lines with
+a base span are used as they are and again with the name and the value replaced by ones that no pattern matches, and
+secrets and look-alikes (mail addresses, numbers, paths, identifiers) are planted into other lines. Base spans are
+always part of the result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -19,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import pick
+from .frames import discard, pick, place, staged
 from .textbytes import CONTINUATION, LOWER, SPACE, Hasher, blocks, mix, word_spans
 
 KINDS = ("assign", "access", "hex")
@@ -60,11 +65,15 @@ _CLASSES = (
     _class("+/_.=-"),
 )
 _HEXADECIMAL = _class("0123456789abcdef")
+_KIND = sum((k + 1) * t for k, t in enumerate(_CLASSES)).astype(np.int8)
 N_WORDS = 1 << 12
 PIECE = 48
 _SHAPES = 5 * 2 * 4 * 4 * 4 * 2
-#: slots: shape of the token, of the one before, of the one after; hashed words before and two before; file features
-N_FEATURES = 3 * (_SHAPES + 1) + 2 * (N_WORDS + 1) + 16
+_CHANGES = 6 * 6
+#: slots: shape of the token, of the one before, of the one after; hashed words before and two before; file features;
+#: changes of character class inside the token
+N_FEATURES = 3 * (_SHAPES + 1) + 2 * (N_WORDS + 1) + 16 + _CHANGES + 1
+SLOTS = 7
 TAGS = 3  # outside, begin, inside
 ALLOWED = np.array([[1, 1, 0], [1, 1, 1], [1, 1, 1]], bool)
 START = np.array([1, 1, 0], bool)
@@ -104,6 +113,10 @@ def chains(data: np.ndarray, offsets: np.ndarray) -> Chains:
 
     shape = (((length * 2 + pure) * 4 + level(low)) * 4 + level(up)) * 4 + level(digit)
     shape = shape * 2 + (low + up + digit + joint == size)
+    kind = _KIND[data]
+    turns = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(kind[1:] != kind[:-1], out=turns[2:])  # turns[i]: changes before byte i
+    changes = np.searchsorted([1, 2, 4, 7, 12], turns[end] - turns[start + 1], side="right") * 6 + np.searchsorted([8, 12, 16, 24, 36], size, side="right") if len(start) else size
     words = Hasher(LOWER[data]).spans(start, end)
     word = (mix(words) >> np.uint64(64 - 12)).astype(np.int64)
 
@@ -120,10 +133,10 @@ def chains(data: np.ndarray, offsets: np.ndarray) -> Chains:
     dense = np.bincount(row, digit > 0, minlength=rows) / np.maximum(tokens, 1)
     file = np.searchsorted([20, 100, 500], tokens)[row] * 4 + np.searchsorted([0.01, 0.1, 0.4], dense)[row]
     slots, at = [], 0
-    for values, room in ((shape, _SHAPES), (moved(shape, 1, _SHAPES), _SHAPES), (moved(shape, -1, _SHAPES), _SHAPES), (moved(word, 1, N_WORDS), N_WORDS), (moved(word, 2, N_WORDS), N_WORDS), (file, 15)):
+    for values, room in ((shape, _SHAPES), (moved(shape, 1, _SHAPES), _SHAPES), (moved(shape, -1, _SHAPES), _SHAPES), (moved(word, 1, N_WORDS), N_WORDS), (moved(word, 2, N_WORDS), N_WORDS), (file, 15), (changes, _CHANGES)):
         slots.append(values + at)
         at += room + 1
-    return Chains(start, end, row, line, np.stack(slots, axis=1) if len(start) else np.zeros((0, 6), np.int64))
+    return Chains(start, end, row, line, np.stack(slots, axis=1) if len(start) else np.zeros((0, SLOTS), np.int64))
 
 
 def _padded(line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,41 +270,148 @@ def _truth(chain: Chains, data: np.ndarray, offsets: np.ndarray, spans: list[lis
     return tags
 
 
-def learn(docs: DataFrame, most: int = 1500) -> Field:
-    """A field learnt from at most ``most`` texts with base spans and as many without (the bound on what the driver
-    gets: lines with a span and an eighth of the others), picked by a hash of doc_id. For training, lines are cut into
-    chains of PIECE tokens, and of those without a secret one in four is kept."""
-    rows = pick(docs, "doc_id", "text").where("text is not null")
-    cue = F.col("text").rlike("(?i)password|passwd|secret|token|api_?key|akia|[0-9a-f]{24}")
+_LETTERS = string.ascii_letters + string.digits
+_NAMES = ("credential", "passphrase", "auth", "bearer", "pwd", "login", "private key", "client id", "signature", "session", "pin", "webhook", "license key")
+_LINKS = (" = ", ": ", " is ", "=", " -> ", ":", " ")
+
+
+def planted_secret(rng: random.Random) -> str:
+    """A random secret that no base pattern matches."""
+    while True:
+        kind, n = rng.randrange(6), rng.randrange(14, 44)
+        if kind == 0:
+            value = "".join(rng.choices(_LETTERS, k=n))
+        elif kind == 1:
+            value = "".join(rng.choices(string.ascii_uppercase + string.digits, k=n))
+        elif kind == 2:
+            value = "".join(rng.choices(string.ascii_lowercase + string.digits, k=n))
+        elif kind == 3:
+            value = "".join(rng.choices(_LETTERS + "+/", k=n)) + rng.choice(["", "=", "=="])
+        elif kind == 4:
+            value = rng.choice(["sk", "pk", "gh", "xo", "key", "id"]) + rng.choice("_-") + "".join(rng.choices(_LETTERS, k=n))
+        else:
+            value = "-".join("".join(rng.choices(_LETTERS, k=rng.randrange(4, 9))) for _ in range(rng.randrange(3, 6)))
+        if rng.random() < 0.15:
+            value += " " + "".join(rng.choices(_LETTERS, k=rng.randrange(16, 40)))
+        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not base_spans(value):
+            return value
+
+
+def planted_decoy(rng: random.Random) -> str:
+    """Something that looks odd and is no secret."""
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=rng.randrange(3, 10)))
+    number = lambda n: "".join(rng.choices(string.digits, k=n))
+    made = [
+        lambda: f"{word()}.{rng.randrange(100)}@{word()}{rng.randrange(10)}.example.com",
+        lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        lambda: number(rng.randrange(6, 20)),
+        lambda: f"{number(3)}-{number(4)}",
+        lambda: f"https://{word()}.{word()}.org/{word()}/{word()}-{number(4)}?{word()}={number(2)}",
+        lambda: f"/{word()}/{word()}{rng.randrange(10)}/{word()}.py",
+        lambda: f"{word()}_{word()}_{word()}_{rng.randrange(100)}",
+        lambda: word().title() + word().title() + word().title(),
+        lambda: f"20{number(2)}-0{rng.randrange(1, 10)}-1{rng.randrange(10)}T0{rng.randrange(10)}:{number(2)}:{number(2)}Z",
+        lambda: f"v{rng.randrange(20)}.{rng.randrange(20)}.{rng.randrange(20)}{rng.choice(['', '-beta1', '-rc2', '+build7'])}",
+        lambda: str(uuid.UUID(int=rng.getrandbits(128))),
+        lambda: f"{word().title()}.{word().title()}{number(2)}@{word()}.{word()}.com",
+        lambda: f"{word().title()}{word().title()}{word().title()}{rng.randrange(10)}",
+        lambda: f"{word().upper()}-20{number(2)}-{number(5)}",
+        lambda: "".join(rng.choices(string.ascii_lowercase, k=rng.randrange(18, 40))),
+        lambda: "".join(rng.choices(string.ascii_uppercase, k=rng.randrange(6, 20))),
+        lambda: word() + rng.choice(["!!", "***", "%%%", "##"]) + number(2),
+    ]
+    return rng.choice(made)()
+
+
+def _variants(line: str, spans: list[tuple[int, int, str]], rng: random.Random) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """The line as it is, and as the field is to see it beyond the patterns."""
+    out = [(line, spans)]
+
+    def put(head: str, value: str, tail: str, secret: bool) -> None:
+        text = f"{head}{value}{tail}"
+        out.append((text, [(len(head), len(head) + len(value), "field" if secret else "decoy"), *base_spans(text)]))
+
+    if spans:
+        start, end = min(x[0] for x in spans), max(x[1] for x in spans)
+        for _ in range(2):
+            name = rng.choice([*_NAMES, rng.choice(line.split() or ["the"])])
+            mark = rng.choice(['"', "'", ""])
+            put(f"{line[:start].rstrip(' ')} {name}{rng.choice(_LINKS)}{mark}", planted_secret(rng), f"{mark}{line[end:].lstrip(_QUOTES)}", True)
+    elif line.strip():
+        words = line.split(" ")
+        at = rng.randrange(len(words) + 1)
+        head, tail = " ".join(words[:at]), " ".join(words[at:])
+        named = rng.choice(["", "", rng.choice(_NAMES) + rng.choice(_LINKS)])
+        for secret in (rng.random() < 0.4, False):
+            put(f"{head}{' ' if head else ''}{named}", planted_secret(rng) if secret else planted_decoy(rng), f"{' ' if tail else ''}{tail}", secret)
+    return out
+
+
+_QUOTES = "\"'"
+LINES, LINE_CHARS, SAMPLED = 16, 1200, 100
+
+
+def sample_lines(docs: DataFrame, most: int) -> list[str]:
+    """At most LINES lines of LINE_CHARS characters of each of 2 * ``most`` texts: ``most`` that may hold base spans
+    and as many others, the first by a hash of doc_id among about SAMPLED * ``most`` texts drawn by that hash. Lines
+    with base spans come first, then one in eight. This is the documented bound on what the driver gets."""
+    rows = pick(docs, "doc_id", "text").where("text is not null and doc_id is not null")
+    share = min(1.0, SAMPLED * most / max(1, rows.count()))
     order = F.xxhash64(F.lit("secrets"), "doc_id")
-    ids = rows.select("doc_id", cue.alias("cue")).where("doc_id is not null")
-    picked = ids.where("cue").orderBy(order, "doc_id").limit(most).unionByName(ids.where("not cue").orderBy(order, "doc_id").limit(most)).select("doc_id").distinct()
+    drawn = rows.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    cue = F.col("text").rlike("(?i)password|passwd|secret|token|api_?key|akia|[0-9a-f]{24}")
+    ids = drawn.select("doc_id", cue.alias("cue")).groupBy("doc_id").agg(F.bool_or("cue").alias("cue"))
+    ids, path = staged(ids, "secret-sample")
+    picked = ids.where("cue").orderBy(order, "doc_id").limit(most).unionByName(ids.where("not cue").orderBy(order, "doc_id").limit(most)).select("doc_id")
 
     def lines(batches):
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                out.append("\n".join([x for x in text.split("\n") if base_spans(x) or zlib.crc32(x.encode()) % 8 == 0]))
+                found, others = [], []
+                for line in text.split("\n"):
+                    spans = base_spans(line)
+                    if spans and len(found) < LINES:
+                        at = max(0, spans[0][0] - LINE_CHARS // 3)
+                        found.append(line[at : at + LINE_CHARS])
+                    elif not spans and len(others) < LINES and zlib.crc32(line.encode()) % 8 == 0:
+                        others.append(line[:LINE_CHARS])
+                out.append("\n".join([*found, *others][:LINES]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    sample = rows.join(F.broadcast(picked), "doc_id").mapInArrow(lines, rows.schema).toPandas().sort_values(["doc_id", "text"])
+    texts = drawn.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # 2 * most rows
+    sample = texts.mapInArrow(lines, texts.schema).toPandas().sort_values(["doc_id", "text"])
+    discard(docs.sparkSession, path)
+    return [line for text in sample["text"].tolist() for line in text.split("\n")]
+
+
+def learn(docs: DataFrame, most: int = 1500, seed: int = 11) -> Field:
+    """A field learnt from the lines of a bounded sample (see ``sample_lines``). For training, lines are cut into
+    chains of PIECE tokens, and of those without a secret or look-alike one in four is kept. No lines: all outside."""
+    return fit_lines(sample_lines(docs, most), seed)
+
+
+def fit_lines(lines: list[str], seed: int = 11) -> Field:
+    rng = random.Random(seed)
+    said = [x for one in lines for x in _variants(one, base_spans(one), rng)]
     line, features, tags, base = [], [], [], 0
-    for _, _, data, offsets in blocks(pa.array(sample["text"].tolist(), pa.string())):
+    texts, spans = [x for x, _ in said], [y for _, y in said]
+    for first, last, data, offsets in blocks(pa.array(texts, pa.string())):
         chain = chains(data, offsets)
-        texts = [bytes(data[a:b]).decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        truth = _truth(chain, data, offsets, [base_spans(t) for t in texts])
+        truth = _truth(chain, data, offsets, [[x for x in own if x[2] != "decoy"] for own in spans[first:last]])
+        decoy = _truth(chain, data, offsets, [[x for x in own if x[2] == "decoy"] for own in spans[first:last]])
         new = np.flatnonzero(np.r_[True, chain.line[1:] != chain.line[:-1]]) if len(chain.line) else np.zeros(0, int)
         inside = np.arange(len(chain.line)) - np.repeat(new, np.diff(np.append(new, len(chain.line))))
         piece = np.cumsum(inside % PIECE == 0) - 1
         held = np.arange(int(piece[-1]) + 1 if len(piece) else 0) % 4 == 0
-        held[piece[truth > 0]] = True
+        held[piece[(truth > 0) | (decoy > 0)]] = True
         kept = held[piece]
         line.append(piece[kept] + base)
         features.append(chain.features[kept])
         tags.append(truth[kept])
         base += len(held)
     if not line or not sum(map(len, line)):
-        return fit(np.zeros(0, np.int64), np.zeros((0, 6), np.int64), np.zeros(0, np.int64))
+        return fit(np.zeros(0, np.int64), np.zeros((0, SLOTS), np.int64), np.zeros(0, np.int64))
     line = np.unique(np.concatenate(line), return_inverse=True)[1]
     return fit(line, np.concatenate(features), np.concatenate(tags))
 
@@ -370,10 +490,12 @@ def redact(docs: DataFrame, field: Field, mark: str = "<secret>") -> DataFrame:
 
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at = f"c{names.index('text')}"
+    if place(names, "text") is None:
+        return docs
+    at = f"c{place(names, 'text')}"
     plain = plain.withColumn("new", clean(at))
-    if "n_chars" in names:
-        n = f"c{names.index('n_chars')}"
+    if place(names, "n_chars") is not None:
+        n = f"c{place(names, 'n_chars')}"
         plain = plain.withColumn(n, F.when(F.col("new") == F.col(at), F.col(n)).otherwise(F.length("new").cast("long")))
     return plain.withColumn(at, F.col("new")).drop("new").toDF(*names)
 

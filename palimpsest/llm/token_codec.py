@@ -140,12 +140,12 @@ class Coder:
 _RAW = "part int, block int, doc_ids binary, known binary, doc_sizes binary, ids binary"
 
 
-def _raw_blocks(path: str, end_id: int):
+def _raw_blocks(vocab: str, end_id: int):
     """Tokenises sorted texts into blocks of whole documents, about BLOCK_IDS ids each."""
 
     def run(batches):
         part, block, held, size = TaskContext.get().partitionId(), 0, [], 0
-        coder = tokenizer(path)
+        coder = tokenizer(vocabulary(vocab))  # where this worker has it
 
         def flush():
             keys, known, sizes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -184,14 +184,14 @@ def _count(width: int, size: int):
 
 def write_token_file(docs: DataFrame, path: str, *, vocab: str = "byte_bpe_50k.json", end_id: int = 2) -> None:
     """Writes the ids of every whole text, end_id after each document, in ascending doc_id order (null ids first,
-    ties by text). Null text: the end id alone. Repeated rows are separate documents. No rows: no blocks."""
+    ties by a hash of the text, then text). Null text: the end id alone. Repeated rows are separate documents. No rows: no blocks."""
     spark = docs.sparkSession
-    where = vocabulary(vocab)
-    coder = tokenizer(where)
+    coder = tokenizer(vocabulary(vocab))
     size, width = max(coder.library.get_vocab_size(), end_id + 1), np.dtype(coder.dtype).itemsize
     ordered = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    raw, raw_path = staged(ordered.mapInArrow(_raw_blocks(where, end_id), _RAW), "token-ids", **{"parquet.block.size": str(8 << 20)})
+    # a doc_id that many rows repeat spreads over several tasks by the hash
+    ordered = ordered.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    raw, raw_path = staged(ordered.select("doc_id", "text").mapInArrow(_raw_blocks(vocab, end_id), _RAW), "token-ids", **{"parquet.block.size": str(8 << 20)})
     counted = raw.select("ids").mapInArrow(_count(width, size), "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(size, np.int64)
     for row in counted.collect():  # at most one row an id of the vocabulary

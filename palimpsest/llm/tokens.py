@@ -4,8 +4,8 @@ A text is cut before a space or line feed that follows a visible ASCII character
 ASCII punctuation that follows an ASCII letter. The pre-tokenizers of the supported vocabularies (byte-level and
 word-end byte-pair encodings) never join characters across such a place, so the ids of the text are those of its
 segments in order. A text that holds the string of an added token (such as ``<|endoftext|>``) is not cut: the library
-gets it whole and gives the token's own id. A worker remembers segments by their 64-bit hash and length in a
-direct-mapped table and gives only new ones to the library.
+gets it whole and gives the token's own id. A worker remembers segments of up to MOST bytes in a direct-mapped table
+by their 64-bit hash, compares a remembered segment's bytes before it uses its ids, and gives all others to the library.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from .textbytes import CONTINUATION, PUNCTUATION, Hasher
 MEMO = 2_000_000  # segments after which a worker starts afresh
 SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
+MOST = 64  # bytes of a remembered segment
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
@@ -43,28 +44,52 @@ class SegmentTokenizer:
 
     def _forget(self) -> None:
         self.key = np.zeros(SLOTS, np.uint64)
-        self.entry = np.zeros(SLOTS, np.int32)
+        self.entry = np.full(SLOTS, -1, np.int32)
         self.flat = np.zeros(1 << 16, self.dtype)
         self.where = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int32)
-        self.used = self.known = 0
+        self.bytes = np.zeros(1 << 16, np.uint8)  # of all entries, each with eight zeros after it
+        self.first = np.zeros(1 << 14, np.int64)  # where an entry's bytes begin
+        self.length = np.zeros(1 << 14, np.int32)
+        self.used = self.known = self.written = 0
 
     def _learn(self, segments: list[bytes]) -> None:
         for k in range(0, len(segments), 4096):
             part = segments[k : k + 4096]
             ids = [x.ids for x in self.library.encode_batch_fast([s.decode("utf-8", "replace") for s in part], add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            raw = np.frombuffer(b"".join(s + bytes(8) for s in part), np.uint8)
+            lengths = np.fromiter(map(len, part), np.int64, len(part))
             first, total = self.known, int(sizes.sum())
             while len(self.where) < first + len(part):
-                self.where, self.size = np.resize(self.where, 2 * len(self.where)), np.resize(self.size, 2 * len(self.size))
+                self.where, self.size, self.first, self.length = (np.resize(x, 2 * len(x)) for x in (self.where, self.size, self.first, self.length))
             while len(self.flat) < self.used + total:
                 self.flat = np.resize(self.flat, 2 * len(self.flat))
+            while len(self.bytes) < self.written + len(raw):
+                self.bytes = np.resize(self.bytes, 2 * len(self.bytes))
             self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), self.dtype, total)
-            self.where[first : first + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.size[first : first + len(part)] = sizes
+            self.bytes[self.written : self.written + len(raw)] = raw
+            own = slice(first, first + len(part))
+            self.where[own] = self.used + np.cumsum(sizes) - sizes
+            self.first[own] = self.written + np.cumsum(lengths + 8) - lengths - 8
+            self.size[own], self.length[own] = sizes, lengths
             self.used += total
+            self.written += len(raw)
             self.known += len(part)
 
+    def _same(self, text: Hasher, start: np.ndarray, size: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Which segments have the very bytes of their entries."""
+        same = self.length[entry] == size
+        live = np.flatnonzero(same)
+        ours = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, 0, (1,))
+        at, other, left = start[live], self.first[entry[live]], size[live]
+        while len(live):
+            equal = text.chunk(at, left) == ours[other]  # zeros follow both
+            same[live[~equal]] = False
+            more = equal & (left > 8)
+            live, at, other, left = live[more], at[more] + 8, other[more] + 8, left[more] - 8
+        return same
+
     def _whole(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
         """The texts that hold an added token's string."""
         rows = set()
@@ -97,19 +122,28 @@ class SegmentTokenizer:
         end = np.append(start[1:], len(data))
         if self.known > MEMO:
             self._forget()
-        key = Hasher(data).spans(start, end)
+        text, size = Hasher(data), end - start
+        key = text.spans(start, end)
         slot = (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         entry = self.entry[slot]
-        new = np.flatnonzero(self.key[slot] != key)
+        hit = (entry >= 0) & (self.key[slot] == key) & (size <= MOST)
+        hit[hit] = self._same(text, start[hit], size[hit], entry[hit])
+        new = np.flatnonzero(~hit)
         if len(new):
             distinct, sample, kind = np.unique(key[new], return_index=True, return_inverse=True)
-            a, b = start[new[sample]].tolist(), end[new[sample]].tolist()
-            entry[new] = self.known + kind
-            place = slot[new[sample]]
-            self.key[place] = distinct
-            self.entry[place] = self.known + np.arange(len(distinct))
+            sample = new[sample]
+            first = self.known
+            entry[new] = first + kind
+            self._learn([raw[x:y] for x, y in zip(start[sample].tolist(), end[sample].tolist(), strict=True)])
+            small = size[sample] <= MOST
+            place = slot[sample[small]]
+            self.key[place] = distinct[small]
+            self.entry[place] = (first + np.arange(len(distinct)))[small]
             # where two of them share a slot, the last one stands, in both tables
-            self._learn([raw[x:y] for x, y in zip(a, b, strict=True)])
+            odd = new[~self._same(text, start[new], size[new], entry[new])]
+            if len(odd):  # equal hashes, other bytes
+                entry[odd] = self.known + np.arange(len(odd))
+                self._learn([raw[x:y] for x, y in zip(start[odd].tolist(), end[odd].tolist(), strict=True)])
         sizes = self.size[entry].astype(np.int64)
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.where[entry] - (ends - sizes), sizes) + np.arange(ends[-1])]

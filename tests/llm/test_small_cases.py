@@ -428,3 +428,113 @@ def test_mixing_with_clashing_columns_repeats_and_ties(spark):
     for (k, _), epochs in times.items():  # repeated rows stand or fall together
         assert sorted(epochs) == sorted([*range(1, max(epochs) + 1)] * (2 if k < 40 else 1)) or k < 40
     assert out.count() == sum(map(len, times.values()))
+
+
+def test_nearest_with_extreme_lengths_and_repeats(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 4))
+    x[5:10] *= 1e200
+    x[10:15] *= 1e-310
+    x[15] = [5e-324, 0, 0, 0]
+    rows = [(k, [float(v) for v in x[k]]) for k in range(60)] + [(-1, [1.0, 2.0]), (0, [float(v) for v in 2 * x[0]]), (7, [float(v) for v in x[3]]), (3, [float(v) for v in x[3]])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, 6).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    have = sorted({(k, tuple(v)) for k, v in rows if len(v) == 4})
+    assert set(got) == set(range(0, 60, 5))
+    for q, found in got.items():
+        own = min(v for k, v in have if k == q)
+        all_of = [(float(ann.products(np.array([own]), np.array([v]))[0]), k) for k, v in have if (k, v) != (q, own)]
+        assert found == [(k, s) for s, k in sorted(all_of, key=lambda z: (-z[0], z[1]))[:6]]
+    assert all(np.isfinite(s) or abs(s) == np.inf for f in got.values() for _, s in f)
+
+
+def thue_morse():
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    one, two = thue_morse()
+    said = [one, two, f"{one}\n{two}\n{one}", f"x {two} y", f"x {one} y"]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").coalesce(1)
+    rows = {r.doc_id: r for r in ngram_join.jaccard_components(docs, width=3, per_cent=90).collect()}
+    assert [rows[k].component_id for k in range(5)] == [0, 1, 2, 3, 4]
+    assert {r.doc_id: r.n_dup_lines for r in quality.quality_report(docs, []).collect()} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 0}
+    for vocab, end, call in (("byte_bpe_50k.json", 2, token_codec.round_trip), ("word_bpe_49k.json", 1, packing.pack_along_curve)):
+        library = tokens.SegmentTokenizer(tokens.vocabulary(vocab)).library
+        for r in call(docs).collect():
+            ids = library.encode(said[r.doc_id], add_special_tokens=False).ids + [end]
+            if call is packing.pack_along_curve:
+                ids = ids[r.start : r.start + r.length]
+            assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_packing_brings_like_documents_together(spark):
+    rng = random.Random(13)
+    topics = [[f"{c}{rng.randrange(10**6)}" for _ in range(40)] for c in "abcdefgh"]
+    rows = [(k, " ".join(rng.choices(topics[k % 8], k=120))) for k in range(240)]
+    runs = {}
+    for r in packing.pack_along_curve(spark.createDataFrame(rows, "doc_id long, text string"), most=2048).collect():
+        runs.setdefault(r.sequence_id, []).append(r.doc_id % 8)
+    pairs = [a == b for own in runs.values() for i, a in enumerate(own) for b in own[:i]]
+    assert np.mean(pairs) > 3 / 8  # in random order one in eight
+
+
+def test_field_finds_what_no_pattern_finds(spark):
+    rng = random.Random(14)
+    words = ["lorem", "ipsum", "dolor", "sit", "amet", "consectetur", "día", "größe", "adipiscing", "elit"]
+    lines = [" ".join(rng.choices(words, k=rng.randrange(4, 14))) for _ in range(600)]
+    lines += [f'{x} token = "{rng.getrandbits(160):040x}" {x}' for x in lines[:60]]
+    field = secrets_crf.fit_lines(lines)
+    rng, hits, false, n = random.Random(15), 0, 0, 300
+    said, spans = [], []
+    for _ in range(n):
+        head, value = " ".join(rng.choices(words, k=rng.randrange(1, 9))) + " ", secrets_crf.planted_secret(rng)
+        said.append(f"{head}{value} {rng.choice(words)} {secrets_crf.planted_decoy(rng)}")
+        spans.append((len(head), len(head) + len(value)))
+    k = 0
+    for _, _, data, offsets in blocks(pa.array(said)):
+        for _, found in secrets_crf.block_secrets(field, data, offsets):
+            mine = [(s, e) for s, e, kind in found if kind == "field"]
+            hits += any(s <= spans[k][0] and spans[k][1] <= e for s, e in mine)
+            false += any(e <= spans[k][0] or spans[k][1] <= s for s, e in mine)
+            k += 1
+    assert hits > 0.7 * n and false < 0.05 * n, (hits, false)
+
+
+def test_license_scan_matches_a_plain_search(spark):
+    """Every template, whole and with a word lost, between other words; each against alignment with all templates."""
+    rng = random.Random(16)
+    filler = ["and", "then", "some", "words", "of", "no", "license"]
+    said, want = [], []
+    for name, template in {**licenses.TEMPLATES, "tiny": "Beerware Licence", "lone": "Copyleftish"}.items():
+        words = template.split(" ")
+        for lost in (None, len(words) // 2):
+            own = [w for k, w in enumerate(words) if k != lost]
+            if lost is not None and len(words) < 6:
+                continue
+            said.append(" ".join([*rng.choices(filler, k=9), *own, *rng.choices(filler, k=9)]))
+            want.append(name)
+    said += ["", None, " ".join(filler * 40)]
+    templates = {**licenses.TEMPLATES, "tiny": "Beerware Licence", "lone": "Copyleftish"}
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), templates).collect()}
+
+    def tokens_of(text):
+        return [w.lower() for w in re.findall(r"[^\s!-/:-@\[-`{-~]+", text or "")]
+
+    def share(template, text):
+        t, x = tokens_of(template), tokens_of(text)
+        best = [[0] * (len(x) + 1) for _ in range(len(t) + 1)]
+        for i in range(len(t)):
+            for j in range(len(x)):
+                best[i + 1][j + 1] = best[i][j] + 1 if t[i] == x[j] else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1] / len(t)
+
+    for k, name in enumerate(want):
+        assert name in [x.license for x in got[k]], (name, got[k])
+        for x in got[k]:
+            assert share(templates[x.license], said[k][x.start : x.end]) == pytest.approx(x.coverage)
+    assert all(not got[k] for k in range(len(want), len(said)))
