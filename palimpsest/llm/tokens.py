@@ -5,7 +5,7 @@ ASCII punctuation that follows an ASCII letter. The pre-tokenizers of the suppor
 word-end byte-pair encodings) never join characters across such a place, so the ids of the text are those of its
 segments in order. A text that holds the string of an added token (such as ``<|endoftext|>``) is not cut: the library
 gets it whole and gives the token's own id. A worker remembers segments of up to MOST bytes in a direct-mapped table
-by their 64-bit hash, compares a remembered segment's bytes before it uses its ids, and gives all others to the library.
+by a 64-bit hash, compares a remembered segment's bytes before it uses its ids, and gives all others to the library.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from itertools import chain
 
 import numpy as np
 
-from .textbytes import CONTINUATION, PUNCTUATION, Hasher
+from .textbytes import CONTINUATION, PUNCTUATION, Hasher, mix
 
 MEMO = 2_000_000  # segments after which a worker starts afresh
-SLOT_BITS = 21
+SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
 MOST = 64  # bytes of a remembered segment
 _LETTER = np.zeros(256, bool)
@@ -43,8 +43,9 @@ class SegmentTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.key = np.zeros(SLOTS, np.uint64)
-        self.entry = np.full(SLOTS, -1, np.int32)
+        self.begins = np.zeros(SLOTS, np.uint64)  # the first eight bytes of the segment in each slot
+        self.long = np.zeros(SLOTS, np.uint8)  # its length, 0 if there is none
+        self.entry = np.zeros(SLOTS, np.int32)
         self.flat = np.zeros(1 << 16, self.dtype)
         self.where = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int32)
@@ -123,23 +124,26 @@ class SegmentTokenizer:
         if self.known > MEMO:
             self._forget()
         text, size = Hasher(data), end - start
-        key = text.spans(start, end)
+        begins = text.chunk(start, size)
+        key = mix(begins ^ size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        longer = np.flatnonzero(size > 8)
+        key[longer] = text.spans(start[longer], end[longer])
         slot = (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         entry = self.entry[slot]
-        hit = (entry >= 0) & (self.key[slot] == key) & (size <= MOST)
-        hit[hit] = self._same(text, start[hit], size[hit], entry[hit])
+        hit = (self.begins[slot] == begins) & (self.long[slot] == size)  # up to eight bytes, that is all of it
+        longer = longer[hit[longer]]
+        hit[longer] = self._same(text, start[longer], size[longer], entry[longer])
         new = np.flatnonzero(~hit)
         if len(new):
-            distinct, sample, kind = np.unique(key[new], return_index=True, return_inverse=True)
+            _, sample, kind = np.unique(key[new], return_index=True, return_inverse=True)
             sample = new[sample]
             first = self.known
             entry[new] = first + kind
             self._learn([raw[x:y] for x, y in zip(start[sample].tolist(), end[sample].tolist(), strict=True)])
-            small = size[sample] <= MOST
+            small = np.flatnonzero(size[sample] <= MOST)
             place = slot[sample[small]]
-            self.key[place] = distinct[small]
-            self.entry[place] = (first + np.arange(len(distinct)))[small]
-            # where two of them share a slot, the last one stands, in both tables
+            self.begins[place], self.long[place], self.entry[place] = begins[sample[small]], size[sample[small]], first + small
+            # where two of them share a slot, the last one stands, in all three tables
             odd = new[~self._same(text, start[new], size[new], entry[new])]
             if len(odd):  # equal hashes, other bytes
                 entry[odd] = self.known + np.arange(len(odd))
