@@ -1,8 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A term occurrence has a linear weight and a factor vector. A text's logit is
-``bias + sum(w) / n**d + (|sum(v)|^2 - sum(|v|^2)) / (2 n**2d)`` over its n words (d is DAMPING), so that two terms that are
-harmless alone can count together. Terms are words and two word openings, hashed into 2**bits slots. Training
+A term has a linear weight and a factor vector, and in a text that holds it c times the value x = 1 + ln c. The
+logit of a text of n words is ``bias + sum(w x) / n**d + (|sum(v x)|^2 - sum(|v x|^2)) / (2 n**2d)`` over its distinct terms
+(d is DAMPING), so that two terms that are harmless alone can count together. Terms are words and two word openings, hashed into 2**bits slots. Training
 takes a bounded sample of labelled rows, learns weights and factors of all their terms together by minibatches, and
 lets the penalty, not a filter by class, decide which of them stay; scoring reads every whole text.
 """
@@ -47,36 +47,54 @@ class FactorizationMachine:
     factors: np.ndarray  # terms x rank
 
     def logits(self, term: np.ndarray, row: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """term: positions in slots, in order of row."""
-        out = np.zeros((len(words), self.factors.shape[1] + 2))
+        """term: positions in slots of all occurrences, each with its row."""
+        rank = self.factors.shape[1]
+        out = np.zeros((len(words), rank + 2))
         if len(term):
-            table = np.column_stack([self.weights, self.factors, (self.factors**2).sum(1)])
+            pair, times = np.unique(row.astype(np.int64) * len(self.slots) + term, return_counts=True)
+            row, term = pair // len(self.slots), pair % len(self.slots)
+            x = 1 + np.log(times)
+            v = self.factors[term] * x[:, None]
             new = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            out[row[new]] = np.add.reduceat(table[term], new, axis=0)
+            out[row[new]] = np.add.reduceat(np.column_stack([self.weights[term] * x, v, (v**2).sum(1)]), new, axis=0)
         n = np.maximum(words, 1).astype(float)
         return self.bias + out[:, 0] / n**DAMPING + ((out[:, 1:-1] ** 2).sum(1) - out[:, -1]) / (2 * n ** (2 * DAMPING))
 
 
 def _known(slots: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences of terms with weights, in order of row."""
+    """Occurrences of terms with weights, and their rows."""
     term = place[slots]
     kind, word = np.nonzero(term >= 0)
-    order = np.argsort(word, kind="stable")
-    return term[kind[order], word[order]], row[word[order]]
+    return term[kind, word], row[word]
+
+
+def _gap(bare: np.ndarray, toxic: np.ndarray, real: tuple[float, float]) -> float:
+    """The middle of the widest gap between sorted logits at which most texts are told apart. real: how many labelled
+    texts a clean and a toxic one of the sample stand for."""
+    rising = np.argsort(bare, kind="stable")
+    weight = np.where(toxic > 0, real[1], real[0])[rising]
+    mine = toxic[rising] > 0
+    right = np.cumsum(np.where(mine, 0.0, weight))[:-1] + np.where(mine, weight, 0.0).sum() - np.cumsum(np.where(mine, weight, 0.0))[:-1]
+    gap = np.diff(bare[rising])
+    if not (gap > 0).any():
+        return 0.0
+    best = int(np.argmax(np.where(right >= right[gap > 0].max() * (1 - 1e-9), gap, -1.0)))
+    return float((bare[rising[best]] + bare[rising[best + 1]]) / 2)
 
 
 def fit(
-    docs: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray, *, bits: int, rank: int = 8, epochs: int = 30, steps: int = 150, batch: int = 512,
-    rate: float = 0.15, sparse: float = 3e-3, group: float = 0.02, quiet: float = 0.3, spread: float = 0.03, least: int = 4, seed: int = 7,
+    docs: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray, *, bits: int, rank: int = 8, steps: int = 210, batch: int = 512,
+    rate: float = 0.15, sparse: float = 3e-3, group: float = 0.02, quiet: float = 0.3, spread: float = 0.03, least: int = 4, real: tuple[float, float] = (1.0, 1.0), seed: int = 7,
 ) -> FactorizationMachine:
     """docs: each text's distinct slots, how often each occurs, and its number of words.
 
-    Proximal minibatch descent with momentum on the log loss in which both classes weigh the same, so that a score of
-    0.5 means equal likelihood whatever share the sample gave each class. Linear weights carry an l1 penalty
+    Proximal minibatch descent with momentum on the log loss in which both classes weigh the same. Linear weights carry an l1 penalty
     (``sparse``), factor vectors a group penalty (``group``) that sets in after the share ``quiet`` of all steps: a
     pair of terms is found before lone noise is cut to zero. Steps are scaled by the steepest slope, so that a term of
-    many texts moves before one of few. Terms of fewer than ``least`` texts can't teach and get neither. Without
-    texts of both classes: the constant share of toxic ones."""
+    many texts moves before one of few. Terms of fewer than ``least`` texts can't teach and get neither. The bias
+    is then moved so that a score of 0.5 lies in the widest gap of those that tell most labelled texts apart, each
+    sampled text counted as the labelled ones that it stands for (``real``: of clean, of toxic). Without texts of both
+    classes: the constant share of toxic ones."""
     toxic = np.asarray(toxic, float)
     share = float(toxic.mean()) if len(toxic) else 0.0
     if not len(toxic) or share in (0.0, 1.0):
@@ -87,7 +105,8 @@ def fit(
     known[terms[texts >= least]] = True
     docs = [(t[known[t]], c[known[t]], n) for t, c, n in docs]
     slots, term = np.unique(np.concatenate([d[0] for d in docs]), return_inverse=True)
-    count = np.concatenate([d[1] for d in docs]).astype(np.float32)
+    times = np.concatenate([d[1] for d in docs]).astype(np.int64)
+    value = (1 + np.log(times)).astype(np.float32)
     size = np.array([len(d[0]) for d in docs])
     start = np.cumsum(size) - size
     n_words = np.maximum(1, np.array([d[2] for d in docs])).astype(np.float32)
@@ -98,7 +117,7 @@ def fit(
     pace, bias, top = np.zeros_like(at), 0.0, np.zeros(2)
     usable = np.flatnonzero(size > 0)
     per_epoch = -(-len(usable) // batch)
-    total = max(steps, epochs * per_epoch) if per_epoch else 0
+    total = steps if per_epoch else 0
     queue: list[np.ndarray] = []
     for step in range(1, total + 1):
         queue = queue or np.array_split(rng.permutation(usable), per_epoch)
@@ -106,11 +125,12 @@ def fit(
         many = size[own]
         first = np.cumsum(many) - many
         place = np.repeat(start[own] - first, many) + np.arange(many.sum())
-        t, c = term[place], count[place]
+        t, c = term[place], value[place]
         x = at[t]
+        x *= c[:, None]
         v = x[:, :rank]
-        sums = np.add.reduceat(x * c[:, None], first, axis=0)
-        logit = bias + sums[:, rank] * by_one[own] + ((sums[:, :rank] ** 2).sum(1) - np.add.reduceat((v * v).sum(1) * c, first)) * by_two[own]
+        sums = np.add.reduceat(x, first, axis=0)
+        logit = bias + sums[:, rank] * by_one[own] + ((sums[:, :rank] ** 2).sum(1) - np.add.reduceat((v * v).sum(1), first)) * by_two[own]
         error = (cost[own] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - toxic[own]) / len(own)).astype(np.float32)
         slope = np.empty_like(x)
         slope[:, :rank] = (np.repeat(2 * error * by_two[own], many) * c)[:, None] * (np.repeat(sums[:, :rank], many, axis=0) - v)
@@ -128,6 +148,10 @@ def fit(
         norm = np.sqrt((at[:, :rank] ** 2).sum(1))
         at[:, :rank] *= np.maximum(0, 1 - wide * group * weight / np.maximum(norm, 1e-9))[:, None]
         bias -= 0.3 * min(rate / (top[1] + 1e-9), 50.0) * float(error.sum())
+    machine = FactorizationMachine(bits, slots.astype(np.int64), 0.0, at[:, rank].astype(float), at[:, :rank].astype(float))
+    row = np.repeat(np.arange(len(docs)), size)
+    bare = machine.logits(np.repeat(term, times), np.repeat(row, times), n_words.astype(np.int64))
+    bias = -_gap(bare, toxic, real)
     kept = np.flatnonzero((at != 0).any(1))
     return FactorizationMachine(bits, slots[kept].astype(np.int64), bias, at[kept, rank].astype(float), at[kept, :rank].astype(float))
 
@@ -146,24 +170,22 @@ def _terms_20(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(counts, pa.binary()), pa.array(words, pa.int64())], ["slots", "counts", "words"])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, usable, most: int) -> DataFrame:
-    """Distinct slots and counts of at most ``most`` toxic and 3 * ``most`` other labelled texts. usable: a condition
-    on doc_id. A doc_id with several labels is toxic if any of them says so; of several texts the least counts."""
+def learn(docs: DataFrame, labels: DataFrame, usable=lambda doc_id: F.lit(True), most: int = 2000, **options) -> FactorizationMachine:
+    """A machine learnt from at most ``most`` toxic and 3 * ``most`` other labelled texts (the documented bound on
+    what the driver holds: eight bytes a distinct term of each), picked by a hash of doc_id. usable: a condition on
+    doc_id. A doc_id with several labels is toxic if any of them says so; of several texts the least counts."""
     known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic")).where(usable(F.col("doc_id")))
     order = F.xxhash64(F.lit("toxic"), "doc_id")
     picked = known.where("toxic <> 0").orderBy(order, "doc_id").limit(most).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(3 * most))
     rows = pick(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id")  # 4 * most rows
-    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return rows.select("doc_id", "toxic", _terms_20("text").alias("t")).select("doc_id", "toxic", "t.*")
-
-
-def learn(docs: DataFrame, labels: DataFrame, usable=lambda doc_id: F.lit(True), most: int = 2000, **options) -> FactorizationMachine:
-    """A machine learnt from at most ``most`` toxic and 3 * ``most`` other labelled texts (the documented bound on
-    what the driver holds: eight bytes a distinct term of each), picked by a hash of doc_id."""
-    rows = sorted(training_rows(docs, labels, usable, most).toLocalIterator(), key=lambda r: r["doc_id"])
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "toxic", _terms_20("text").alias("t")).select("doc_id", "toxic", "t.*")
+    rows = sorted(rows.toLocalIterator(), key=lambda r: r["doc_id"])
+    toxic = np.array([r["toxic"] != 0 for r in rows])
+    n = known.agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") != 0).alias("toxic")).first()
+    real = (max(1, n["clean"]) / max(1, int((~toxic).sum())), max(1, n["toxic"]) / max(1, int(toxic.sum()))) if len(rows) else (1.0, 1.0)
     texts = [(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["counts"], np.int32), r["words"]) for r in rows]
-    return fit(texts, np.array([r["toxic"] != 0 for r in rows]), bits=20, **options)
+    return fit(texts, toxic, bits=20, real=real, **options)
 
 
 @lru_cache(maxsize=2)

@@ -407,9 +407,10 @@ def test_logits_are_the_double_sum():
     got = machine.logits(*toxicity._known(slots, row, place), words)
     for r in range(len(said)):
         terms = [int(place[s]) for s in slots[:, row == r].ravel() if place[s] >= 0]
+        x = {k: 1 + math.log(terms.count(k)) for k in terms}
         n = max(1, len(said[r].split())) ** toxicity.DAMPING
-        pairs = sum(machine.factors[terms[i]] @ machine.factors[terms[j]] for i in range(len(terms)) for j in range(i))
-        assert got[r] == pytest.approx(machine.bias + machine.weights[terms].sum() / n + pairs / n**2)
+        pairs = sum(machine.factors[a] @ machine.factors[b] * x[a] * x[b] for a in x for b in x if a < b)
+        assert got[r] == pytest.approx(machine.bias + sum(machine.weights[k] * v for k, v in x.items()) / n + pairs / n**2)
 
 
 def test_mixing_with_clashing_columns_repeats_and_ties(spark):
