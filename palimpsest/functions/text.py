@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: fixed value: what a token is
 TOKEN = "[a-zA-Z0-9_-]+"
 
+#: fixed values: words that say nothing about a subject
+STOP = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "current", "did", "do", "does", "for", "from", "has", "have", "how", "in", "is", "it",
+    "latest", "of", "on", "or", "the", "to", "was", "what", "when", "where", "which", "who", "why", "with",
+)
+
 #: fixed values: words and the concept that stands for them
 CONCEPTS = {
     "launch": "release", "released": "release", "launching": "release",
@@ -19,6 +26,7 @@ CONCEPTS = {
     "reports": "report", "reported": "report", "says": "report",
     "depends": "dependency", "dependency": "dependency",
 }
+#: fixed value: tokens that name an entity
 ENTITY = r"^(?:project|company|person|service|vendor|target|distractor|alias)[-_].+|^[a-z]+-\d{3,}$"
 
 #: fixed values: phrases that name a predicate
@@ -44,6 +52,11 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0), F.lower)
 
 
+def lexical(text: Column) -> Column:
+    """Tokens without stop words."""
+    return F.filter(tokens(text), lambda t: ~t.isin(*STOP))
+
+
 def concepts(text: Column) -> Column:
     """Tokens without entity names, synonyms replaced."""
     table = F.create_map(*[F.lit(x) for pair in CONCEPTS.items() for x in pair])
@@ -90,8 +103,10 @@ def number_after(text: Column, pattern: str) -> Column:
 
 
 def valid_time(text: Column) -> Column:
+    """The day that the text names (a fixed pattern)."""
     return number_after(text, r"(?i)\b(?:as\s+of\s+)?day\s+(\d+)\b")
 
 
 def recorded_seq(text: Column) -> Column:
+    """The sequence number that the text names (a fixed pattern)."""
     return number_after(text, r"(?i)\b(?:record(?:ed)?(?:\s+sequence|\s+seq)?|seq)\s+(\d+)\b")

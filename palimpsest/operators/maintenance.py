@@ -21,6 +21,11 @@ def delete(base: DataFrame, tombstones: DataFrame, keys: list[str]) -> DataFrame
     return base.join(tombstones.select(*keys).distinct(), keys, "left_anti")
 
 
+def touched_only(rows: DataFrame, touched: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key is among those touched."""
+    return rows.join(touched.select(*keys).distinct(), keys, "left_semi")
+
+
 def dependency_edges(assertions: DataFrame, bridge: DataFrame) -> DataFrame:
     """source_node, derived_node: evidence and assertions to profiles and states, states to supports, supports to
     contexts."""
@@ -55,6 +60,7 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     Breadth first: each round joins the frontier with the edges and drops what was met before; the frontier is written
     to the shared folder. Cycles end when nothing new is met.
     """
+    edges = staged(edges.select("source_node", "derived_node").distinct(), "edges")
     met = None
     frontier, depth = seeds.select("node").distinct(), 0
     while True:
@@ -114,5 +120,5 @@ def two_tier(keys: DataFrame, primary: DataFrame, overflow: DataFrame) -> DataFr
     """key, tier, value: primary if it has the key, else overflow, else miss; an overflow row is read for misses only."""
     hit = keys.join(primary, "key").withColumn("tier", F.lit("primary"))
     missed = keys.join(primary.select("key"), "key", "left_anti")
-    rest = missed.join(overflow, "key", "left").withColumn("tier", F.when(F.col("value").isNull(), "miss").otherwise("overflow"))
-    return hit.unionByName(rest).select("key", "tier", "value")
+    rest = missed.join(overflow.withColumn("found", F.lit(True)), "key", "left").withColumn("tier", F.when(F.col("found"), "overflow").otherwise("miss"))
+    return hit.unionByName(rest.drop("found")).select("key", "tier", "value")

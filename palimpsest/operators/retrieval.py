@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .temporal import active_at, visible_by
+from .temporal import visible_by
 
 
 def postings(docs: DataFrame, words: Column, key: str = "id") -> DataFrame:
@@ -14,24 +14,25 @@ def postings(docs: DataFrame, words: Column, key: str = "id") -> DataFrame:
     return docs.select(key, F.explode(words).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
-def tfidf(posted: DataFrame, n_docs: Column | DataFrame, key: str = "id") -> DataFrame:
-    """term, key, weight: raw tf times ln((1 + n) / (1 + df)) + 1, each document's vector scaled to length 1.
-    n_docs: a one-row table with ``n``."""
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    table = posted.join(df, "term").join(F.broadcast(n_docs))  # one row
-    raw = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    table = table.withColumn("raw", raw)
+def with_idf(posted: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """term, idf: ln((1 + n) / (1 + df)) + 1. n_docs: a one-row table with ``n``."""
+    df = posted.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n_docs))  # one row
+    return df.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def scaled(posted: DataFrame, idf: DataFrame, key: str, name: str) -> DataFrame:
+    """term, key, name: raw tf times idf, each vector scaled to length 1; terms without idf are dropped before."""
+    table = posted.join(idf, "term").select("term", key, (F.col("tf") * F.col("idf")).alias("raw"))
     norm = table.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return table.join(norm, key).select("term", key, (F.col("raw") / F.col("norm")).alias("weight"), "df")
+    return table.join(norm, key).select("term", key, (F.col("raw") / F.col("norm")).alias(name))
 
 
-def query_vectors(questions: DataFrame, words: Column, weights: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """query_id, term, weight with the corpus's idf; terms that the corpus lacks are dropped before scaling."""
-    idf = weights.groupBy("term").agg(F.any_value("df").alias("df")).join(F.broadcast(n_docs))
-    q = questions.select("query_id", F.explode(words).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
-    q = q.join(idf, "term").withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return q.join(norm, "query_id").select("query_id", "term", (F.col("raw") / F.col("norm")).alias("q_weight"))
+def channel(docs: DataFrame, questions: DataFrame, words: Column, asked: Column, n_docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, id, weight) and (term, query_id, q_weight) of one channel. docs: id and what words reads; questions:
+    query_id and what asked reads."""
+    posted = postings(docs, words)
+    idf = with_idf(posted, n_docs)
+    return scaled(posted, idf, "id", "weight"), scaled(postings(questions, asked, "query_id"), idf, "query_id", "q_weight")
 
 
 def cosine(vectors: DataFrame, weights: DataFrame, key: str = "id") -> DataFrame:
@@ -54,20 +55,56 @@ def hybrid(concept: DataFrame, lexical: DataFrame, key: str = "id") -> DataFrame
     return both.select("query_id", key, F.round(0.55 * F.coalesce("c", F.lit(0.0)) + 0.45 * F.coalesce("l", F.lit(0.0)), 6).alias("score"), channels.alias("channels"))
 
 
-def hard_filter(questions: DataFrame, evidence: DataFrame, bridge: DataFrame, assertions: DataFrame) -> DataFrame:
-    """query_id, id, recorded_seq of evidence that has the question's subject, its predicate and an interval that is
-    active, each from any of its assertions, and that was known in time. Null parts of a question don't filter."""
-    own = bridge.join(assertions.withColumnRenamed("id", "assertion_id").drop("recorded_seq"), "assertion_id")
-    by_subject = own.select("subject_id", "evidence_id").distinct()
-    met = questions.join(by_subject, "subject_id")
-    parts = met.join(own.drop("subject_id", "assertion_id").withColumnRenamed("predicate", "own_predicate"), "evidence_id")
-    fits = parts.groupBy("query_id", "evidence_id").agg(
-        F.bool_or(F.col("predicate").isNull() | (F.col("own_predicate") == F.col("predicate"))).alias("has_predicate"),
-        F.bool_or(active_at(F.col("valid_time"))).alias("is_active"),
-        F.any_value("known_by").alias("known_by"),
+def assembled(evidence: DataFrame, bridge: DataFrame, assertions: DataFrame) -> DataFrame:
+    """Evidence as documents: id, recorded_seq, subjects, predicates, intervals (distinct, in order). Evidence without
+    an assertion stays, with empty arrays."""
+    own = bridge.join(assertions.select(F.col("id").alias("assertion_id"), "subject_id", "predicate", "valid_from", "valid_to"), "assertion_id")
+    facts = own.groupBy("evidence_id").agg(
+        F.array_sort(F.collect_set("subject_id")).alias("subjects"),
+        F.array_sort(F.collect_set("predicate")).alias("predicates"),
+        F.array_sort(F.collect_set(F.struct("valid_from", "valid_to"))).alias("intervals"),
     )
-    kept = fits.where("has_predicate and is_active").join(evidence.select(F.col("id").alias("evidence_id"), "recorded_seq"), "evidence_id")
-    return kept.where(visible_by(F.col("known_by"))).select("query_id", F.col("evidence_id").alias("id"), "recorded_seq")
+    docs = evidence.select("id", "recorded_seq").join(facts.withColumnRenamed("evidence_id", "id"), "id", "left")
+    none = {"subjects": "array<string>", "predicates": "array<string>", "intervals": "array<struct<valid_from:bigint,valid_to:bigint>>"}
+    return docs.select("id", "recorded_seq", *[F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in none.items()])
+
+
+def hard_filter(questions: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, id, recorded_seq of the documents (``assembled``) that have the question's subject, its predicate and
+    an interval that is active, each from any of their assertions, and that were known in time. A null part of a
+    question doesn't filter; documents without intervals are always active.
+
+    Questions meet documents by subject, those without one by predicate. A question that names neither would pass
+    every document: it brings no row here, and callers abstain.
+    """
+    active = F.exists("intervals", lambda i: (i["valid_from"].isNull() | (i["valid_from"] <= F.col("valid_time"))) & (i["valid_to"].isNull() | (F.col("valid_time") <= i["valid_to"])))
+    fits = visible_by(F.col("known_by")) & (F.col("valid_time").isNull() | (F.size("intervals") == 0) | active)
+    has = F.col("predicate").isNull() | F.array_contains("predicates", F.col("predicate"))
+    named = questions.where("subject_id is not null").join(docs.withColumn("subject_id", F.explode("subjects")), "subject_id").where(has & fits)
+    bare = questions.where("subject_id is null and predicate is not null").join(docs.withColumn("predicate", F.explode("predicates")), "predicate").where(fits)
+    return named.select("query_id", "id", "recorded_seq").unionByName(bare.select("query_id", "id", "recorded_seq"))
+
+
+def pair_scores(pairs: DataFrame, channels: list[tuple[DataFrame, DataFrame]], names: list[str]) -> DataFrame:
+    """pairs (query_id, id, ...) with the cosine of each channel (null where it is not above 0). A document's terms
+    and a question's weights travel as one row each, so that a pair costs no row for each shared term."""
+    for (weights, vectors), name in zip(channels, names, strict=True):
+        docs = weights.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("doc_terms"))
+        asked = vectors.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "q_weight"))).alias("asked"))
+        table = pairs.join(docs, "id", "left").join(asked, "query_id", "left")
+        part = F.transform("doc_terms", lambda x: F.coalesce(F.element_at("asked", x["term"]), F.lit(0.0)) * x["weight"])
+        score = F.round(F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x), 6)
+        pairs = table.withColumn(name, F.when(score > 0, score)).drop("doc_terms", "asked")
+    return pairs
+
+
+def planned_search(allowed: DataFrame, channels: list[tuple[DataFrame, DataFrame]], budget: int) -> DataFrame:
+    """query_id, id, rank, score: the best of what each question's constraints allow by 0.55 concept + 0.45 lexical,
+    then, where fewer than ``budget`` have any score, the rest by recency with score 0."""
+    scored = pair_scores(allowed, channels, ["concept", "lexical"])
+    score = F.round(0.55 * F.coalesce("concept", F.lit(0.0)) + 0.45 * F.coalesce("lexical", F.lit(0.0)), 6)
+    hits = scored.withColumn("score", F.when(F.col("concept").isNotNull() | F.col("lexical").isNotNull(), score))
+    return back_fill(allowed, hits.select("query_id", "id", "score").where("score is not null"), budget)
 
 
 def back_fill(allowed: DataFrame, hits: DataFrame, budget: int) -> DataFrame:
@@ -80,27 +117,149 @@ def back_fill(allowed: DataFrame, hits: DataFrame, budget: int) -> DataFrame:
 
 
 def subject_profiles(evidence: DataFrame, bridge: DataFrame, assertions: DataFrame) -> DataFrame:
-    """subject_id, token, tf over each subject's distinct evidence."""
+    """subject_id, token, tf over each subject's distinct evidence, without stop words."""
     own = bridge.join(assertions.select(F.col("id").alias("assertion_id"), "subject_id"), "assertion_id").select("subject_id", "evidence_id").distinct()
     said = own.join(evidence.select(F.col("id").alias("evidence_id"), "payload"), "evidence_id")
-    return said.select("subject_id", F.explode(tx.tokens(F.col("payload"))).alias("token")).groupBy("subject_id", "token").agg(F.count("*").alias("tf"))
+    return said.select("subject_id", F.explode(tx.lexical(F.col("payload"))).alias("token")).groupBy("subject_id", "token").agg(F.count("*").alias("tf"))
 
 
-def plan_subjects(questions: DataFrame, profiles: DataFrame, n_subjects: DataFrame) -> DataFrame:
-    """query_id, subject_id (null if none or tied), n_tied, confidence: the sum over question tokens, with repeats, of
-    idf * (1 + ln tf); ties within 1e-9 abstain."""
-    idf = profiles.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n_subjects))
-    weights = profiles.join(idf, "token").select("token", "subject_id", ((F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1) * (1 + F.log("tf"))).alias("w"))
-    asked = questions.select("query_id", F.explode(tx.tokens(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    scores = asked.join(weights, "token").groupBy("query_id", "subject_id").agg(F.sum(F.col("times") * F.col("w")).alias("score"))
-    own = Window.partitionBy("query_id")
-    best = F.max("score").over(own)
-    ranked = scores.withColumn("top", best).withColumn("at", F.row_number().over(own.orderBy(F.desc("score"), "subject_id")))
-    out = ranked.groupBy("query_id").agg(
+def subject_predicates(bridge: DataFrame, assertions: DataFrame) -> DataFrame:
+    """predicate, subject_id: the subjects of evidence that carries the predicate, from whichever assertion."""
+    own = bridge.join(assertions.select(F.col("id").alias("assertion_id"), "subject_id", "predicate"), "assertion_id")
+    return own.select("evidence_id", "predicate").distinct().join(own.select("evidence_id", "subject_id").distinct(), "evidence_id").select("predicate", "subject_id").distinct()
+
+
+def best_subject(scores: DataFrame, ask: str) -> DataFrame:
+    """ask, subject_id (null if tied), n_tied, confidence out of ask, subject_id, score: the best score, ties within
+    1e-9; confidence is the lead over the second, as a share."""
+    own = Window.partitionBy(ask)
+    ranked = scores.withColumn("top", F.max("score").over(own)).withColumn("at", F.row_number().over(own.orderBy(F.desc("score"), "subject_id")))
+    out = ranked.groupBy(ask).agg(
         F.max("top").alias("top"),
         F.count_if(F.col("top") - F.col("score") <= 1e-9).alias("n_tied"),
         F.max(F.when(F.col("at") == 2, F.col("score"))).alias("second"),
         F.max(F.when(F.col("at") == 1, F.col("subject_id"))).alias("first"),
     )
-    confidence = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("top") - F.coalesce("second", F.lit(0.0))) / F.col("top"))), 6)
-    return out.select("query_id", F.when(F.col("n_tied") == 1, F.col("first")).alias("subject_id"), "n_tied", confidence.alias("confidence"))
+    lead = F.when(F.col("top") <= 0, 1.0).otherwise((F.col("top") - F.coalesce("second", F.lit(0.0))) / F.col("top"))
+    alone = F.col("n_tied") == 1
+    return out.select(ask, F.when(alone, F.col("first")).alias("subject_id"), "n_tied", F.when(alone, F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), lead)), 6)).otherwise(0.0).alias("confidence"))
+
+
+def plan_subjects(questions: DataFrame, profiles: DataFrame, allowed: DataFrame, n_subjects: DataFrame) -> DataFrame:
+    """query_id, subject_id (null if none or tied), n_tied, confidence. questions: query_id, question, predicate.
+
+    A subject's score is the sum over question tokens, with repeats, without stop words, of idf * (1 + ln tf). Where
+    the question has a predicate, only subjects of evidence that carries it count (allowed: predicate, subject_id).
+    Questions that ask the same words of the same predicate are scored once.
+    """
+    idf = profiles.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n_subjects))  # one row
+    weights = profiles.join(idf, "token").select("token", "subject_id", ((F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1) * (1 + F.log("tf"))).alias("w"))
+    asks = questions.withColumn("words", F.array_sort(tx.lexical(F.col("question"))))
+    asks = asks.withColumn("ask", F.concat_ws(" ", F.coalesce("predicate", F.lit("?")), "words"))
+    distinct = asks.select("ask", "predicate", "words").distinct()
+    tokens = distinct.select("ask", "predicate", F.explode("words").alias("token")).groupBy("ask", "predicate", "token").agg(F.count("*").alias("times"))
+    met = tokens.join(weights, "token")
+    fits = met.where("predicate is null").unionByName(met.join(allowed, ["predicate", "subject_id"]).select(*met.columns))
+    scores = fits.groupBy("ask", "subject_id").agg(F.sum(F.col("times") * F.col("w")).alias("score"))
+    found = asks.select("query_id", "ask").join(best_subject(scores, "ask"), "ask", "left")
+    return found.select("query_id", "subject_id", F.coalesce("n_tied", F.lit(0)).cast("long").alias("n_tied"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
+def noisy_subjects(questions: DataFrame, profiles: DataFrame, n_subjects: DataFrame, *, candidates: int = 32, broad: int = 128) -> DataFrame:
+    """plan_subjects for misspelt names, with its ledger: candidates come from postings of whole tokens (weight 4 idf),
+    and for tokens that no profile holds from fragments (3) and character n-grams (1). Posting sizes are looked up
+    first, and postings of more than ``broad`` subjects are skipped before they are read, so that no question meets
+    more than that many rows a feature. The ``candidates`` best are scored: exact score plus a tenth of the first.
+
+    Returns query_id, subject_id, n_tied, confidence, n_candidates, entries_examined, broad_skipped. The limits are
+    those of the operator, not of a test run.
+    """
+    features = {
+        "token": profiles.select("token", F.col("token").alias("f"), "subject_id"),
+        "fragment": profiles.select("token", F.explode(F.array_distinct(tx.fragments(F.col("token")))).alias("f"), "subject_id"),
+        "gram": profiles.select("token", F.explode(F.array_distinct(tx.grams(F.col("token")))).alias("f"), "subject_id"),
+    }
+    postings = {k: x.select("f", "subject_id").distinct() for k, x in features.items()}
+    sizes = {k: x.groupBy("f").agg(F.count("*").alias("size")) for k, x in postings.items()}
+    asked = questions.select("query_id", F.explode(tx.lexical(F.col("question"))).alias("token"))
+    tokens = asked.join(sizes["token"].withColumnRenamed("f", "token"), "token", "left")
+    missing = tokens.where("size is null").select("query_id", "token")
+    idf = F.log((1 + F.col("n")) / (1 + F.col("size"))) + 1
+    looked = [tokens.where("size is not null").join(F.broadcast(n_subjects)).select("query_id", F.lit("token").alias("kind"), F.col("token").alias("f"), "size", (4 * idf).alias("weight"))]
+    for kind, split, weight in (("fragment", tx.fragments, 3.0), ("gram", tx.grams, 1.0)):
+        parts = missing.select("query_id", F.explode(F.array_distinct(split(F.col("token")))).alias("f"))
+        looked.append(parts.join(sizes[kind], "f").select("query_id", F.lit(kind).alias("kind"), "f", "size", F.lit(weight).alias("weight")))
+    lookups = looked[0].unionByName(looked[1]).unionByName(looked[2])
+    ledger = lookups.groupBy("query_id").agg(F.sum(F.when(F.col("size") <= broad, F.col("size")).otherwise(0)).alias("entries_examined"), F.count_if(F.col("size") > broad).alias("broad_skipped"))
+    every = postings["token"].withColumn("kind", F.lit("token")).unionByName(postings["fragment"].withColumn("kind", F.lit("fragment"))).unionByName(postings["gram"].withColumn("kind", F.lit("gram")))
+    met = lookups.where(F.col("size") <= broad).join(every, ["kind", "f"]).groupBy("query_id", "subject_id").agg(F.round(F.sum("weight"), 6).alias("first"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("first"), "subject_id"))
+    best = met.withColumn("place", place).where(F.col("place") <= candidates).select("query_id", "subject_id", "first")
+    exact = asked.join(best, "query_id").join(profiles, ["token", "subject_id"]).join(sizes["token"].withColumnRenamed("f", "token"), "token").join(F.broadcast(n_subjects))
+    exact = exact.groupBy("query_id", "subject_id").agg(F.sum(idf * (1 + F.log("tf"))).alias("exact"))
+    scored = best.join(exact, ["query_id", "subject_id"], "left").select("query_id", "subject_id", F.round(F.coalesce("exact", F.lit(0.0)) + 0.1 * F.col("first"), 6).alias("score"))
+    chosen = best_subject(scored, "query_id").join(best.groupBy("query_id").agg(F.count("*").alias("n_candidates")), "query_id")
+    out = questions.select("query_id").join(ledger, "query_id", "left").join(chosen, "query_id", "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_tied", "n_candidates", "entries_examined", "broad_skipped")]
+    return out.select("query_id", "subject_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), *zero)
+
+
+def coverage_rank(ranked: DataFrame, questions: DataFrame, bridge: DataFrame, assertions: DataFrame, relations: DataFrame, state: DataFrame) -> DataFrame:
+    """query_id, needed: the number of ranked results after which a question is covered; null if it never is.
+
+    ranked: query_id, id, rank. questions: query_id, subject_id, predicate, intent. A question about a change is
+    covered once both ends of a correction or supersession of its key are found; one about a contested key once two
+    distinct values are; any other once an assertion of its key is.
+    """
+    own = bridge.join(assertions.select(F.col("id").alias("assertion_id"), "subject_id", "predicate", "object_value"), "assertion_id").withColumnRenamed("evidence_id", "id")
+    found = ranked.join(questions.select("query_id", "subject_id", "predicate"), "query_id").join(own, ["id", "subject_id", "predicate"])
+    first = found.groupBy("query_id", "assertion_id").agg(F.min("rank").alias("rank"))
+    values = found.groupBy("query_id", "object_value").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "object_value"))
+    values = values.withColumn("place", place).where("place <= 2").groupBy("query_id").agg(F.min("rank").alias("one"), F.max(F.when(F.col("place") == 2, F.col("rank"))).alias("two"))
+    links = relations.where(F.col("relation").isin("corrects", "supersedes"))
+    ends = first.select("query_id", F.col("assertion_id").alias("source_assertion_id"), F.col("rank").alias("a")).join(links, "source_assertion_id")
+    ends = ends.join(first.select("query_id", F.col("assertion_id").alias("target_assertion_id"), F.col("rank").alias("b")), ["query_id", "target_assertion_id"])
+    both = ends.groupBy("query_id").agg(F.min(F.greatest("a", "b")).alias("both"))
+    table = questions.join(values, "query_id", "left").join(both, "query_id", "left").join(state.select("subject_id", "predicate", "status"), ["subject_id", "predicate"], "left")
+    needed = F.when(F.col("intent") == "relation_classification", F.col("both")).when(F.col("status") == "contested", F.col("two")).otherwise(F.col("one"))
+    return table.select("query_id", needed.alias("needed"))
+
+
+def adaptive_budget(needed: DataFrame, most: int = 16) -> DataFrame:
+    """query_id, budget, rounds, covered: budgets double from 1 to ``most`` until a question is covered."""
+    steps = [1 << k for k in range(most.bit_length())]
+    budget = F
+    for b in steps:
+        budget = budget.when(F.col("needed") <= b, b)
+    budget = budget.otherwise(most)
+    covered = F.coalesce(F.col("needed") <= most, F.lit(False))
+    return needed.select("query_id", budget.cast("long").alias("budget"), (F.log2(budget.cast("double")) + 1).cast("long").alias("rounds"), covered.alias("covered"))
+
+
+def query_text(questions: DataFrame) -> DataFrame:
+    """query_id, text asked of the text channels for a structured question (query_id, subject_id, predicate, intent,
+    valid_time): subject, predicate and words of its kind."""
+    kind = (
+        F.when(F.col("intent") == "current", "current latest")
+        .when(F.col("intent").isin("historical", "historical_belief"), "historical previous")
+        .when(F.col("intent") == "relation_classification", "correction changed transition previous current")
+        .when(F.col("intent") == "provenance", "source evidence support")
+    )
+    day = F.when(F.col("valid_time").isNotNull(), F.concat(F.lit("day "), F.col("valid_time").cast("string")))
+    return questions.select("query_id", F.concat_ws(" ", "subject_id", F.replace("predicate", F.lit("_"), F.lit(" ")), kind, day).alias("text"))
+
+
+MODES = ("semantic_only", "lexical_only", "hybrid_text", "planned_multi_address")
+
+
+def search(mode: str, scores: dict[str, DataFrame], budget: int) -> DataFrame:
+    """The ``budget`` best of each question in a mode. scores: concept and lexical (query_id, id, score), and for the
+    planned mode ``planned`` (query_id, id, rank, score). Any other mode is an error."""
+    if mode == "planned_multi_address":
+        return scores["planned"].where(F.col("rank") <= budget)
+    if mode == "hybrid_text":
+        return top(hybrid(scores["concept"], scores["lexical"]), budget).select("query_id", "id", "rank", "score")
+    if mode in MODES:
+        return top(scores["concept" if mode == "semantic_only" else "lexical"], budget).select("query_id", "id", "rank", "score")
+    raise ValueError(f"unknown retrieval mode: {mode}")

@@ -60,7 +60,7 @@ def reconcile(rows: DataFrame, relations: DataFrame, registry: DataFrame, questi
     n_historical. rows: visible assertions.
 
     Multi-valued: all candidates support. Single-valued: resolved if one value is left, contested if several. No
-    candidate: unknown, with history. Candidates are first counted by value, so that a key with a large share of all
+    candidate: unknown, with history. A predicate that the registry lacks: unregistered, without a value. Candidates are first counted by value, so that a key with a large share of all
     rows meets in one task as its distinct values only.
     """
     group = [*(question or []), *KEY]
@@ -69,9 +69,9 @@ def reconcile(rows: DataFrame, relations: DataFrame, registry: DataFrame, questi
     values = table.groupBy(*group, "object_value").agg(seen.alias("seen"), F.count_if(~F.col("is_defeated")).alias("live"), F.count_if("is_defeated").alias("past"))
     firsts = F.array_sort(F.collect_list(F.when(F.col("live") > 0, F.struct("seen", "object_value"))))
     cells = values.groupBy(*group).agg(firsts.alias("firsts"), F.sum("live").alias("n_candidates"), F.sum("past").alias("n_historical"))
-    cells = cells.join(F.broadcast(registry), "predicate")  # a handful of predicates
+    cells = cells.join(F.broadcast(registry), "predicate", "left")  # a handful of predicates
     cells = cells.withColumn("values", F.transform("firsts", lambda x: x["object_value"]))
-    status = F.when(F.col("n_candidates") == 0, "unknown").when((F.col("cardinality") == "multi") | (F.size("values") == 1), "resolved").otherwise("contested")
+    status = F.when(F.col("cardinality").isNull(), "unregistered").when(F.col("n_candidates") == 0, "unknown").when((F.col("cardinality") == "multi") | (F.size("values") == 1), "resolved").otherwise("contested")
     cells = cells.withColumn("status", status)
     operative = F.when(F.col("status") == "resolved", F.col("values")).otherwise(F.array().cast("array<string>"))
     return cells.select(*group, "status", operative.alias("operative"), "n_candidates", "n_historical")
@@ -134,14 +134,104 @@ def as_of(questions: DataFrame, assertions: DataFrame) -> DataFrame:
     return met.where(active_at(F.col("valid_time")) & visible_by(F.col("known_by"))).select("query_id", *assertions.columns)
 
 
-def inspection(state: DataFrame) -> DataFrame:
-    """Text shown for a key: entity, property, status, value and how much stands behind it."""
-    text = F.concat_ws(
-        "\n",
+def context_lines(state: DataFrame, parts: DataFrame, assertions: DataFrame, bridge: DataFrame, evidence: DataFrame) -> DataFrame:
+    """subject_id, predicate, section, place, line: what is shown for a key, line by line, so that a key with a long
+    history is never gathered in one place. parts: as ``support`` gives them.
+
+    Sections in order: 1 header (entity, property, status, values), 2 competing assertions (only of contested keys),
+    3 the history of assertions, 4 evidence with its text. Places within a section are by sequence and id.
+    """
+    quoted = F.transform("operative", lambda x: F.concat(F.lit("'"), x, F.lit("'")))
+    header = F.array(
         F.concat(F.lit("ENTITY: "), "subject_id"),
         F.concat(F.lit("PROPERTY: "), "predicate"),
         F.concat(F.lit("CURRENT STATUS: "), "status"),
-        F.when(F.size("operative") > 0, F.concat(F.lit("CURRENT VALUE: "), F.array_join("operative", ", "))),
-        F.concat(F.lit("CANDIDATES: "), F.col("n_candidates").cast("string"), F.lit(" HISTORICAL: "), F.col("n_historical").cast("string")),
+        F.when(F.size("operative") > 0, F.concat(F.lit("CURRENT VALUE: ["), F.array_join(quoted, ", "), F.lit("]"))),
+    )
+    top = state.select(*KEY, F.lit(1).alias("section"), F.posexplode(header).alias("place", "line")).where("line is not null")
+    top = top.select(*KEY, "section", (F.col("place") + 1).cast("long").alias("place"), "line")
+    value = assertions.select("id", F.concat(F.lit("'"), "object_value", F.lit("'")).alias("value"))
+    said = parts.join(value, "id")
+    order = Window.partitionBy(*KEY).orderBy("recorded_seq", "id")
+
+    def section(number: int, rows: DataFrame, line: Column, by: Window = order) -> DataFrame:
+        return rows.select(*KEY, F.lit(number).alias("section"), F.row_number().over(by).cast("long").alias("place"), line.alias("line"))
+
+    competing = section(2, said.where("role = 'competing'"), F.concat(F.lit("- "), "id", F.lit(": "), "value"))
+    history = section(3, said, F.concat(F.lit("- seq="), F.col("recorded_seq").cast("string"), F.lit(" "), "id", F.lit(": "), "value"))
+    proof = parts.select(*KEY, "recorded_seq", "id").join(bridge.withColumnRenamed("assertion_id", "id"), "id")
+    proof = proof.join(evidence.select(F.col("id").alias("evidence_id"), "payload"), "evidence_id")
+    proof = section(4, proof, F.concat(F.lit("- "), "evidence_id", F.lit(": "), "payload"), Window.partitionBy(*KEY).orderBy("recorded_seq", "id", "evidence_id"))
+    return top.unionByName(competing).unionByName(history).unionByName(proof)
+
+
+#: which sections an intent shows
+SECTIONS = {"current": (1, 2), "historical": (1, 2, 3), "historical_belief": (1, 2, 3), "relation_classification": (1, 2, 3), "provenance": (1, 2, 3, 4)}
+
+
+def incremental(state: DataFrame, old: DataFrame, new: DataFrame, relations: DataFrame, registry: DataFrame) -> DataFrame:
+    """subject_id, predicate, status, operative, version, path of every key with a new assertion.
+
+    state: of the old assertions, with operative and version. A key with one new assertion takes a short path where
+    that gives what full reconciliation would: new key; appended (many values, nothing defeated); replaced (it defeats
+    all that is active); same (repeats the one value); conflict (another value, nothing defeated). All other keys fall
+    back to reconciling their own assertions again. Keys without a new assertion are not read.
+    """
+    from .maintenance import touched_only
+
+    touched = new.groupBy(*KEY).agg(F.count("*").alias("n_new"), F.any_value("id").alias("new_id"), F.any_value("object_value").alias("new_value"))
+    defeats = scoped_relations(old.unionByName(new), relations.where(F.col("relation").isin(*DEFEATING))).select(*KEY, "source_assertion_id", "target_assertion_id").distinct()
+    mine = defeats.join(new.select(F.col("id").alias("source_assertion_id")), "source_assertion_id", "left_semi")
+    active = judged(touched_only(old, touched, KEY), relations).where("not is_defeated")
+    hit = mine.select(*KEY, F.col("target_assertion_id").alias("id")).distinct().withColumn("hit", F.lit(1))
+    counts = active.join(hit, [*KEY, "id"], "left").groupBy(*KEY).agg(F.count("*").alias("n_active"), F.count("hit").alias("n_hit"))
+    hits = mine.groupBy(*KEY).agg(F.count("*").alias("n_defeats"))
+    back = defeats.join(new.select(F.col("id").alias("target_assertion_id")), "target_assertion_id", "left_semi").groupBy(*KEY).agg(F.count("*").alias("n_back"))
+    table = touched.join(state.select(*KEY, F.col("status").alias("was"), F.col("operative").alias("had"), "version"), KEY, "left").join(F.broadcast(registry), "predicate", "left")
+    table = table.join(counts, KEY, "left").join(hits, KEY, "left").join(back, KEY, "left").na.fill(0, ["n_active", "n_hit", "n_defeats", "n_back"])
+    alone = (F.col("n_new") == 1) & (F.col("n_back") == 0) & F.col("cardinality").isNotNull()
+    value = F.array("new_value")
+    path = (
+        F.when(~alone, "fallback")
+        .when(F.col("was").isNull(), "new")
+        .when((F.col("cardinality") == "multi") & (F.col("n_defeats") == 0) & (F.col("was") == "resolved"), "appended")
+        .when((F.col("n_active") > 0) & (F.col("n_hit") == F.col("n_active")), "replaced")
+        .when((F.col("was") == "resolved") & (F.col("n_defeats") == 0) & (F.col("had") == value), "same")
+        .when((F.col("was") == "resolved") & (F.col("n_defeats") == 0) & (F.col("cardinality") == "single"), "conflict")
+        .otherwise("fallback")
     )
-    return state.select(*KEY, text.alias("context"))
+    table = table.withColumn("path", path).withColumn("version", F.coalesce(F.col("version") + 1, F.lit(1)).cast("long"))
+    short = table.where("path <> 'fallback'")
+    appended = F.when(F.array_contains("had", F.col("new_value")), F.col("had")).otherwise(F.concat("had", value))
+    operative = F.when(F.col("path") == "appended", appended).when(F.col("path") == "conflict", F.array().cast("array<string>")).otherwise(value)
+    short = short.select(*KEY, F.when(F.col("path") == "conflict", "contested").otherwise("resolved").alias("status"), operative.alias("operative"), "version", "path")
+    slow = table.where("path = 'fallback'").select(*KEY, "version", "path")
+    again = reconcile(touched_only(old.unionByName(new), slow, KEY), relations, registry).select(*KEY, "status", "operative")
+    return short.unionByName(slow.join(again, KEY).select(*short.columns))
+
+
+def routed_answers(questions: DataFrame, state: DataFrame, assertions: DataFrame, relations: DataFrame, registry: DataFrame) -> DataFrame:
+    """query_id, route, status, operative. Questions (query_id, subject_id, predicate, valid_time, known_by) without an
+    as-of read the kept state, those with one are reconciled on demand; a key that neither knows is unknown."""
+    kept = questions.where("valid_time is null and known_by is null").join(state.select(*KEY, "status", "operative"), KEY, "left")
+    late = questions.where("valid_time is not null or known_by is not null")
+    found = reconcile(as_of(late, assertions), relations, registry, ["query_id"])
+    late = late.join(found.select("query_id", "status", "operative"), "query_id", "left")
+    none = F.array().cast("array<string>")
+
+    def shown(rows: DataFrame, route: str) -> DataFrame:
+        return rows.select("query_id", F.lit(route).alias("route"), F.coalesce("status", F.lit("unknown")).alias("status"), F.coalesce("operative", none).alias("operative"))
+
+    return shown(kept, "kept").unionByName(shown(late, "on_demand"))
+
+
+def judged_architectures(answers: dict[str, object], questions: DataFrame, truth: DataFrame) -> DataFrame:
+    """architecture, n, exact: any number of ways to answer, each a callable questions -> (query_id, status, value),
+    against the truth of the same form."""
+    out = None
+    for name, answer in answers.items():
+        got = answer(questions).select("query_id", F.col("status").alias("s"), F.col("value").alias("v"))
+        hit = F.col("status").eqNullSafe(F.col("s")) & F.col("value").eqNullSafe(F.col("v"))
+        rows = truth.join(got, "query_id", "left").agg(F.count("*").alias("n"), F.count_if(hit).alias("exact")).select(F.lit(name).alias("architecture"), "n", "exact")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -44,10 +44,10 @@ cell AS (
   FROM val GROUP BY ALL),
 state AS (
   SELECT subject_id, predicate,
-         CASE WHEN n_candidates = 0 THEN 'unknown' WHEN cardinality = 'multi' OR n_values = 1 THEN 'resolved' ELSE 'contested' END AS status,
+         CASE WHEN cardinality IS NULL THEN 'unregistered' WHEN n_candidates = 0 THEN 'unknown' WHEN cardinality = 'multi' OR n_values = 1 THEN 'resolved' ELSE 'contested' END AS status,
          CASE WHEN n_candidates > 0 AND (cardinality = 'multi' OR n_values = 1) THEN vals ELSE '' END AS operative,
          n_candidates, n_historical
-  FROM cell JOIN registry USING (predicate))
+  FROM cell LEFT JOIN registry USING (predicate))
 """
 
 
@@ -192,7 +192,7 @@ _QUESTIONS = """,
 q AS (
   SELECT o_orderkey AS query_id, 'u' || (o_custkey % (SELECT max(user_id) + 1 FROM events)) AS subject_id,
          ['lives_in','works_at','depends_on','deadline','project_status'][1 + o_orderkey % 5] AS predicate,
-         CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 30 END AS valid_time,
+         CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % (SELECT max(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))) + 1 FROM events) END AS valid_time,
          CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE (SELECT max(event_id) FROM events) * (o_orderkey % 7 + 1) // 8 END AS known_by
   FROM orders)
 """
@@ -200,7 +200,7 @@ q AS (
 
 def _questions(spark, sf_dir):
     """One question an order: a key, a valid time and a knowledge time."""
-    most = tables.table(spark, sf_dir, "events").agg(F.max("user_id"), F.max("event_id")).first()
+    most = tables.table(spark, sf_dir, "events").agg(F.max("user_id"), F.max("event_id"), F.max(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")))).first()
     o = tables.table(spark, sf_dir, "orders")
     names = F.array(*[F.lit(x) for x in ("lives_in", "works_at", "depends_on", "deadline", "project_status")])
     k = F.col("o_orderkey")
@@ -208,7 +208,7 @@ def _questions(spark, sf_dir):
         k.alias("query_id"),
         F.concat(F.lit("u"), (F.col("o_custkey") % F.lit(most[0] + 1)).cast("string")).alias("subject_id"),
         F.get(names, k % 5).alias("predicate"),
-        F.when(k % 3 != 0, k % 30).alias("valid_time"),
+        F.when(k % 3 != 0, k % F.lit(most[2] + 1)).alias("valid_time"),
         F.when(k % 4 != 0, F.expr(f"{most[1]}L * (o_orderkey % 7 + 1) div 8")).alias("known_by"),
     )
 

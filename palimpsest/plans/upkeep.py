@@ -49,12 +49,12 @@ def dependency_edges(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {tables.SQL}{_EDGES},
 reach(node) AS (
-  SELECT d FROM edges WHERE s IN (SELECT 'evidence:' || id FROM evidence WHERE recorded_seq % 97 = 0)
+  SELECT d FROM edges WHERE s IN (SELECT 'evidence:' || id FROM evidence WHERE recorded_seq > (SELECT max(event_id) // 2 FROM events))
   UNION SELECT d FROM reach JOIN edges ON s = node)
 SELECT split_part(node, ':', 1) AS kind, node FROM reach""")
 def affected_nodes(spark, sf_dir):
-    """Everything that a change of some evidence makes stale."""
-    changed = tables.evidence(spark, sf_dir).where("recorded_seq % 97 = 0")
+    """Everything that the evidence of the log's second half makes stale."""
+    changed = tables.evidence(spark, sf_dir).where(F.col("recorded_seq") > _half(spark, sf_dir))
     seeds = changed.select(F.concat(F.lit("evidence:"), "id").alias("node"))
     return m.reachable(_edges(spark, sf_dir), seeds).select(F.split_part("node", F.lit(":"), F.lit(1)).alias("kind"), "node")
 
@@ -99,21 +99,22 @@ def head_delta(spark, sf_dir):
     return m.difference(old.select(*t.KEY, "id"), t.current_heads(a).select(*t.KEY, "id"))
 
 
-@query(f"""WITH {tables.SQL}, h AS (SELECT max(event_id) // 2 AS half FROM events),
+@query(f"""WITH {tables.SQL}, h AS (SELECT max(event_id) // 32 AS half FROM events),
 new AS (SELECT DISTINCT subject_id || ':' || predicate AS key FROM assertions),
 old AS (SELECT DISTINCT subject_id || ':' || predicate AS key FROM assertions, h WHERE recorded_seq <= half),
 need AS (SELECT unnest(['state:' || key, 'support:' || key, 'context:' || key]) AS node FROM new),
 have AS (SELECT unnest(['state:' || key, 'support:' || key, 'context:' || key]) AS node FROM old)
 SELECT node FROM need WHERE node NOT IN (SELECT node FROM have)""")
 def growth_obligations(spark, sf_dir):
-    """Derived nodes that new keys need and that don't exist yet."""
+    """Derived nodes that the keys need and that don't exist after the log's first thirty-second part."""
+    first = F.lit(tables.table(spark, sf_dir, "events").agg(F.expr("max(event_id) div 32")).first()[0])
     key = F.concat_ws(":", "subject_id", "predicate")
     a = tables.assertions(spark, sf_dir)
 
     def nodes(rows):
         return rows.select(key.alias("key")).distinct().select(F.explode(F.array(*[F.concat(F.lit(k), "key") for k in ("state:", "support:", "context:")])).alias("node"))
 
-    return nodes(a).join(nodes(a.where(F.col("recorded_seq") <= _half(spark, sf_dir))), "node", "left_anti")
+    return nodes(a).join(nodes(a.where(F.col("recorded_seq") <= first)), "node", "left_anti")
 
 
 @query("""WITH i AS (SELECT 'u' || user_id || '|' || event_type AS write_key, event_id AS seq, event_id % 5 AS base_version FROM events)
@@ -246,13 +247,13 @@ def two_percentiles(spark, sf_dir):
     return table.groupBy("l_returnflag").agg(F.min(F.when(F.col("upto") >= rank, F.col("l_quantity"))).alias("nearest_rank"), F.min(F.when(F.col("upto") >= index, F.col("l_quantity"))).alias("by_index"))
 
 
-@query(f"""WITH {tables.SQL} SELECT subject_id, n AS history, CAST(floor(2.0 * (3 * n - 2) / (2 * n - 2)) + 1 AS BIGINT) AS break_even
-FROM (SELECT subject_id, predicate, count(*) AS n FROM assertions GROUP BY ALL) WHERE predicate = 'deadline' AND n > 1""")
+@query(f"""WITH {tables.SQL} SELECT subject_id, predicate, n AS history, CAST(floor(2.0 * (3 * n - 2) / (2 * n - 2)) + 1 AS BIGINT) AS break_even
+FROM (SELECT subject_id, predicate, count(*) AS n FROM assertions GROUP BY ALL) WHERE n > 1""")
 def break_even(spark, sf_dir):
     """How many reads pay for keeping a state (maintenance 3n - 2 at weight 2, reads 2n - 1 against 1)."""
     n = F.col("history")
-    rows = tables.assertions(spark, sf_dir).where("predicate = 'deadline'").groupBy("subject_id").agg(F.count("*").alias("history")).where("history > 1")
-    return rows.select("subject_id", "history", (F.floor(F.lit(2.0) * (3 * n - 2) / (2 * n - 2)) + 1).cast("long").alias("break_even"))
+    rows = tables.assertions(spark, sf_dir).groupBy(*t.KEY).agg(F.count("*").alias("history")).where("history > 1")
+    return rows.select(*t.KEY, "history", (F.floor(F.lit(2.0) * (3 * n - 2) / (2 * n - 2)) + 1).cast("long").alias("break_even"))
 
 
 @query(f"""WITH {tables.SQL} SELECT predicate, count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(subject_id || '|' || id || '|' || object_value), 1, 8) AS BIGINT)) AS BIGINT) AS digest
@@ -265,15 +266,15 @@ def table_digest(spark, sf_dir):
 
 @query("""WITH RECURSIVE e AS (
   SELECT 'r' || n_regionkey AS s, 'n' || n_nationkey AS d FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
-reach(node, depth) AS (SELECT d, 1 FROM e WHERE s IN ('r0', 'r1') UNION SELECT d, depth + 1 FROM reach JOIN e ON s = node)
+reach(node, depth) AS (SELECT d, 1 FROM e WHERE s IN (SELECT 'r' || r_regionkey FROM region) UNION SELECT d, depth + 1 FROM reach JOIN e ON s = node)
 SELECT node, depth FROM reach""")
 def region_reach(spark, sf_dir):
-    """M6: what depends on two regions, with its distance."""
+    """M6: what depends on the regions, with its distance."""
     def edge(name, source, derived, a, b):
         return tables.table(spark, sf_dir, name).select(F.concat(F.lit(a), F.col(source).cast("string")).alias("source_node"), F.concat(F.lit(b), F.col(derived).cast("string")).alias("derived_node"))
 
     edges = edge("nation", "n_regionkey", "n_nationkey", "r", "n").unionByName(edge("customer", "c_nationkey", "c_custkey", "n", "c")).unionByName(edge("supplier", "s_nationkey", "s_suppkey", "n", "s"))
-    seeds = tables.table(spark, sf_dir, "region").where("r_regionkey in (0, 1)").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
+    seeds = tables.table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
     return m.reachable(edges, seeds)
 
 

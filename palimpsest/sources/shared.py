@@ -64,6 +64,12 @@ class SnapshotTable:
         fs, where = self._fs(f"{self.path}/committed/{version}")
         fs.create(where, True).close()
 
+    def forget(self, version: int) -> None:
+        """Removes an old version; its marker stays. Readers that still pin it must be done."""
+        if version > 0:
+            fs, where = self._fs(f"{self.path}/v{version}")
+            fs.delete(where, True)
+
     def replace(self, df: DataFrame) -> int:
         version = self.version() + 1
         self.write(df, version)

@@ -50,13 +50,18 @@ def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: what the evidence says, by the event's number k: words with synonyms, names and words of questions
+SAYINGS = ("launch delayed", "deadline moved", "vendor reports certified", "target-17 slipped", "revised amount", "person_x says late")
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, payload, source_id, recorded_seq, source_event_time."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
+    said = F.get(F.array(*[F.lit(x) for x in SAYINGS]), (k.cast("long") % len(SAYINGS)).cast("int"))
     return e.select(
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"),
-        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(" "), "event_type", F.lit(" k "), k).alias("payload"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(" "), "event_type", F.lit(" "), said, F.lit(" k"), k).alias("payload"),
         F.col("event_type").alias("source_id"),
         F.col("event_id").alias("recorded_seq"),
         F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("source_event_time"),
@@ -64,10 +69,11 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """assertion_id, evidence_id: an assertion's own evidence, and the evidence before it for every tenth."""
+    """assertion_id, evidence_id: an assertion's own evidence, except for one in fifty (that evidence has no assertion,
+    that assertion no evidence), and the evidence before it for every tenth."""
     e = table(spark, sf_dir, "events").select("event_id")
     a = F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("assertion_id")
-    own = e.select(a, F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("evidence_id"))
+    own = e.where("event_id % 50 <> 7").select(a, F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("evidence_id"))
     more = e.where("event_id % 10 = 0 and event_id > 0").select(a, F.concat(F.lit("e"), (F.col("event_id") - 1).cast("string")).alias("evidence_id"))
     return own.unionByName(more)
 
@@ -97,12 +103,14 @@ assertions AS (
 registry AS (
   SELECT * FROM (VALUES ('lives_in','single'),('works_at','multi'),('depends_on','multi'),('deadline','single'),('project_status','single')) r(predicate, cardinality)),
 evidence AS (
-  SELECT 'e' || event_id AS id, 'u' || user_id || ' ' || event_type || ' k ' || json_extract_string(props, '$.k') AS payload,
+  SELECT 'e' || event_id AS id, 'u' || user_id || ' ' || event_type || ' ' ||
+         ['launch delayed', 'deadline moved', 'vendor reports certified', 'target-17 slipped', 'revised amount', 'person_x says late'][1 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 6] ||
+         ' k' || json_extract_string(props, '$.k') AS payload,
          event_type AS source_id, event_id AS recorded_seq,
          CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS source_event_time
   FROM events),
 bridge AS (
-  SELECT 'a' || event_id AS assertion_id, 'e' || event_id AS evidence_id FROM events
+  SELECT 'a' || event_id AS assertion_id, 'e' || event_id AS evidence_id FROM events WHERE event_id % 50 <> 7
   UNION ALL SELECT 'a' || event_id, 'e' || (event_id - 1) FROM events WHERE event_id % 10 = 0 AND event_id > 0),
 relations AS (
   SELECT * FROM (

@@ -25,6 +25,7 @@ def keep_heads(stream: DataFrame, path: str, checkpoint: str) -> SnapshotTable:
         rows = batch if before is None else before.select(*batch.columns).unionByName(batch)
         table.write(current_heads(rows).select(*batch.columns), version)
         table.commit(version)
+        table.forget(version - 2)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return table
@@ -33,7 +34,10 @@ def keep_heads(stream: DataFrame, path: str, checkpoint: str) -> SnapshotTable:
 def stream_events(spark: SparkSession, path: str) -> DataFrame:
     """An unbounded table over an event log's folder."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{path}*")  # a file or a folder of files
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    only = path if folder else f"{path[:-1]}[{path[-1]}]"  # a stream reads a folder, or what a pattern matches: this file alone
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(only)
 
 
 def heads_of_events(spark: SparkSession, path: str) -> DataFrame:
