@@ -150,18 +150,20 @@ def plan_subjects(questions: DataFrame, profiles: DataFrame, allowed: DataFrame,
 
     A subject's score is the sum over question tokens, with repeats, without stop words, of idf * (1 + ln tf). Where
     the question has a predicate, only subjects of evidence that carries it count (allowed: predicate, subject_id).
-    Questions that ask the same words of the same predicate are scored once.
+    Questions that ask the same words, of those that any profile holds, of the same predicate are scored once.
     """
     idf = profiles.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n_subjects))  # one row
     weights = profiles.join(idf, "token").select("token", "subject_id", ((F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1) * (1 + F.log("tf"))).alias("w"))
-    asks = questions.withColumn("words", F.array_sort(tx.lexical(F.col("question"))))
+    said = questions.select("query_id", "predicate", F.explode(tx.lexical(F.col("question"))).alias("token")).join(idf.select("token"), "token")
+    asks = said.groupBy("query_id", "predicate").agg(F.array_sort(F.collect_list("token")).alias("words"))
     asks = asks.withColumn("ask", F.concat_ws(" ", F.coalesce("predicate", F.lit("?")), "words"))
     distinct = asks.select("ask", "predicate", "words").distinct()
     tokens = distinct.select("ask", "predicate", F.explode("words").alias("token")).groupBy("ask", "predicate", "token").agg(F.count("*").alias("times"))
     met = tokens.join(weights, "token")
     fits = met.where("predicate is null").unionByName(met.join(allowed, ["predicate", "subject_id"]).select(*met.columns))
     scores = fits.groupBy("ask", "subject_id").agg(F.sum(F.col("times") * F.col("w")).alias("score"))
-    found = asks.select("query_id", "ask").join(best_subject(scores, "ask"), "ask", "left")
+    found = asks.select("query_id", "ask").join(best_subject(scores, "ask"), "ask")
+    found = questions.select("query_id").join(found, "query_id", "left")
     return found.select("query_id", "subject_id", F.coalesce("n_tied", F.lit(0)).cast("long").alias("n_tied"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
