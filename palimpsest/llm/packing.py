@@ -21,7 +21,7 @@ from .textbytes import blocks, mix
 from .tokens import tokenizer, vocabulary, with_end
 
 DIMENSIONS, BITS = 4, 12
-RUN_BYTES, MOST_RUNS = 16 << 20, 50_000
+RUN_BYTES, MOST_RUNS, PART_IDS = 16 << 20, 50_000, 2048
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -57,7 +57,7 @@ def directions(size: int) -> np.ndarray:
     return ((bits >> np.uint64(11)).astype(float) / 2**53 * 2 - 1).reshape(size, DIMENSIONS)
 
 
-_TOKENISED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("at", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
+_TOKENISED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("at", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
 def _tokenise(vocab: str, end_id: int):
@@ -70,9 +70,16 @@ def _tokenise(vocab: str, end_id: int):
                 ids, sizes = with_end(*coder.encode(data, offsets), end_id)
                 ends, raw, wide = np.cumsum(sizes), ids.tobytes(), ids.itemsize
                 sums = np.add.reduceat(axes[ids], ends - sizes, axis=0) / np.sqrt(sizes)[:, None]
-                cuts = [raw[wide * x : wide * y] for x, y in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-                at = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * DIMENSIONS, pa.int32()), pa.array(sums.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), at, pa.array(sizes, pa.int64()), pa.array(cuts, pa.binary())], ["doc_id", "at", "n", "ids"])
+                # a long document goes in several rows, so that rows weigh about the same in the sort
+                parts = -(-sizes // PART_IDS)
+                doc = np.repeat(np.arange(b - a), parts)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * PART_IDS
+                low = (ends - sizes)[doc] + start
+                high = np.minimum(low + PART_IDS, ends[doc])
+                cuts = [raw[wide * x : wide * y] for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+                at = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1) * DIMENSIONS, pa.int32()), pa.array(sums[doc].reshape(-1)))
+                keys = batch.column("doc_id").slice(a, b - a).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([keys, at, pa.array(sizes[doc], pa.int64()), pa.array(start, pa.int64()), pa.array(cuts, pa.binary())], ["doc_id", "at", "n", "start", "ids"])
 
     return run
 
@@ -107,11 +114,11 @@ def _lay(dtype: str, most: int):
 
         for batch in batches:
             rows = []
-            for doc_id, n, ids in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids"), strict=True):
+            for doc_id, n, base, ids in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("start").to_pylist(), batch.column("ids"), strict=True):
                 raw, start = np.frombuffer(ids.as_buffer(), dtype).astype("<u4").tobytes(), 0
-                while start < n:
-                    take = min(n - start, most - used)
-                    held.append((doc_id, start, raw[4 * start : 4 * (start + take)], n, used))
+                while 4 * start < len(raw):
+                    take = min(len(raw) // 4 - start, most - used)
+                    held.append((doc_id, base + start, raw[4 * start : 4 * (start + take)], n, used))
                     start, used = start + take, used + take
                     if used == most:
                         rows += close(held, at)
@@ -139,21 +146,22 @@ def _lay(dtype: str, most: int):
 def pack_along_curve(docs: DataFrame, *, most: int = 2048, vocab: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:
     """Pieces of every document in sequences of at most ``most`` ids: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset. Null or empty text: the end id alone. Repeated rows are separate documents; a null doc_id
-    stays null. Ties on the curve go by doc_id, then by a hash of the ids. Each of the sorted runs (RUN_BYTES of ids)
+    stays null. Ties on the curve go by doc_id, then by place. A document of more than PART_IDS ids is cut there too. Each of the sorted runs (RUN_BYTES of ids)
     ends in at most eleven short sequences. No rows: no pieces."""
     spark = docs.sparkSession
     coder = tokenizer(vocabulary(vocab))
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids, ids_path = staged(rows.mapInArrow(_tokenise(vocab, end_id), _TOKENISED), "packing-ids")
     axis = [F.col("at")[k] for k in range(DIMENSIONS)]
-    stats = ids.agg(*[F.avg(a) for a in axis], *[F.stddev_pop(a) for a in axis], F.sum(F.octet_length("ids"))).first()
+    first = F.col("start") == 0
+    stats = ids.agg(*[F.avg(F.when(first, a)) for a in axis], *[F.stddev_pop(F.when(first, a)) for a in axis], F.sum(F.octet_length("ids"))).first()
     mean = [x or 0.0 for x in stats[:DIMENSIONS]]
     spread = [x or 1.0 for x in stats[DIMENSIONS : 2 * DIMENSIONS]]
     # as many runs as the ids need, so that a task's share stays the same as the input grows
     total = stats[2 * DIMENSIONS] or 0
     runs = max(1, -(-total // max(RUN_BYTES, total // MOST_RUNS)))
-    keyed = ids.select(_keys(mean, spread)("at").alias("key"), "doc_id", "n", "ids")
-    ordered = keyed.repartitionByRange(runs, "key", "doc_id", F.xxhash64("ids")).sortWithinPartitions("key", "doc_id", "ids")
+    keyed = ids.select(_keys(mean, spread)("at").alias("key"), "doc_id", "n", "start", "ids")
+    ordered = keyed.repartitionByRange(runs, "key", "doc_id", "start", F.xxhash64("ids")).sortWithinPartitions("key", "doc_id", "start", "ids")
     pieces, _ = staged(ordered.mapInArrow(_lay(np.dtype(coder.dtype).str, most), _PIECES), "packing-pieces")
     discard(spark, ids_path)
     parts = pieces.groupBy("part").agg((F.max("local") + 1).alias("n"))
