@@ -100,14 +100,15 @@ def fit(
     if not len(toxic) or share in (0.0, 1.0):
         p = min(max(share, 0.01), 0.99)
         return FactorizationMachine(bits, np.zeros(0, np.int64), float(np.log(p / (1 - p))), np.zeros(0), np.zeros((0, rank)))
-    terms, texts = np.unique(np.concatenate([d[0] for d in docs]), return_counts=True)
-    known = np.zeros(1 << bits, bool)
-    known[terms[texts >= least]] = True
-    docs = [(t[known[t]], c[known[t]], n) for t, c, n in docs]
-    slots, term = np.unique(np.concatenate([d[0] for d in docs]), return_inverse=True)
-    times = np.concatenate([d[1] for d in docs]).astype(np.int64)
-    value = (1 + np.log(times)).astype(np.float32)
     size = np.array([len(d[0]) for d in docs])
+    term, times = (np.concatenate([d[k] for d in docs]) for k in (0, 1))
+    slots = np.flatnonzero(np.bincount(term, minlength=1 << bits) >= least)
+    place = np.full(1 << bits, -1, np.int32)
+    place[slots] = np.arange(len(slots))
+    term = place[term]
+    held = term >= 0
+    size = np.add.reduceat(np.append(held, False).astype(np.int64), np.minimum(np.cumsum(size) - size, len(held))) * (size > 0)
+    term, value = term[held], (1 + np.log(times[held])).astype(np.float32)
     start = np.cumsum(size) - size
     n_words = np.maximum(1, np.array([d[2] for d in docs])).astype(np.float32)
     by_one, by_two = n_words**-DAMPING, n_words ** (-2 * DAMPING) / 2
@@ -119,18 +120,24 @@ def fit(
     per_epoch = -(-len(usable) // batch)
     total = steps if per_epoch else 0
     queue: list[np.ndarray] = []
-    for step in range(1, total + 1):
-        queue = queue or np.array_split(rng.permutation(usable), per_epoch)
-        own = queue.pop()
+
+    def forward(own: np.ndarray):
+        """Of the texts ``own``: terms a text, where they begin, terms, values, values times parameters, their sums, and
+        the logits without the bias."""
         many = size[own]
         first = np.cumsum(many) - many
-        place = np.repeat(start[own] - first, many) + np.arange(many.sum())
-        t, c = term[place], value[place]
-        x = at[t]
-        x *= c[:, None]
-        v = x[:, :rank]
+        where = np.repeat(start[own] - first, many) + np.arange(many.sum())
+        t, c = term[where], value[where]
+        x = at[t] * c[:, None]
         sums = np.add.reduceat(x, first, axis=0)
-        logit = bias + sums[:, rank] * by_one[own] + ((sums[:, :rank] ** 2).sum(1) - np.add.reduceat((v * v).sum(1), first)) * by_two[own]
+        own_pairs = np.add.reduceat((x[:, :rank] ** 2).sum(1), first)
+        return many, first, t, c, x, sums, sums[:, rank] * by_one[own] + ((sums[:, :rank] ** 2).sum(1) - own_pairs) * by_two[own]
+
+    for step in range(1, total + 1):
+        queue = queue or np.array_split(rng.permutation(usable), per_epoch)
+        own = queue.pop()
+        many, first, t, c, x, sums, bare = forward(own)
+        v, logit = x[:, :rank], bias + bare
         error = (cost[own] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - toxic[own]) / len(own)).astype(np.float32)
         slope = np.empty_like(x)
         slope[:, :rank] = (np.repeat(2 * error * by_two[own], many) * c)[:, None] * (np.repeat(sums[:, :rank], many, axis=0) - v)
@@ -148,9 +155,10 @@ def fit(
         norm = np.sqrt((at[:, :rank] ** 2).sum(1))
         at[:, :rank] *= np.maximum(0, 1 - wide * group * weight / np.maximum(norm, 1e-9))[:, None]
         bias -= 0.3 * min(rate / (top[1] + 1e-9), 50.0) * float(error.sum())
-    machine = FactorizationMachine(bits, slots.astype(np.int64), 0.0, at[:, rank].astype(float), at[:, :rank].astype(float))
-    row = np.repeat(np.arange(len(docs)), size)
-    bare = machine.logits(np.repeat(term, times), np.repeat(row, times), n_words.astype(np.int64))
+    bare = np.zeros(len(docs))
+    for own in np.array_split(usable, max(1, per_epoch)):
+        if len(own):
+            bare[own] = forward(own)[-1]
     bias = -_gap(bare, toxic, real)
     kept = np.flatnonzero((at != 0).any(1))
     return FactorizationMachine(bits, slots[kept].astype(np.int64), bias, at[kept, rank].astype(float), at[kept, :rank].astype(float))
@@ -185,6 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable=lambda doc_id: F.lit(True),
     n = known.agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") != 0).alias("toxic")).first()
     real = (max(1, n["clean"]) / max(1, int((~toxic).sum())), max(1, n["toxic"]) / max(1, int(toxic.sum()))) if len(rows) else (1.0, 1.0)
     texts = [(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["counts"], np.int32), r["words"]) for r in rows]
+    del rows
     return fit(texts, toxic, bits=20, real=real, **options)
 
 
