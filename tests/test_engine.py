@@ -67,6 +67,16 @@ def test_labels(spark):
         assert t.relation_label(spark.createDataFrame(case[0], A), spark.createDataFrame(case[1], R)).first().label == want
 
 
+def test_inspection_shows_values_only_where_there_are_any(spark, registry):
+    rows, rels = CORRECTION[0] + [(x, "t", *rest) for x, _, *rest in CONFLICT[0]], CORRECTION[1]
+    rows = [r if r[1] == "s" else ("b" + r[0], *r[1:]) for r in rows]
+    found = t.inspection(t.reconcile(spark.createDataFrame(rows, A), spark.createDataFrame(rels, R), registry)).collect()
+    assert {r.subject_id: r.context for r in found} == {
+        "s": "ENTITY: s\nPROPERTY: deadline\nCURRENT STATUS: resolved\nCURRENT VALUE: 14\nCANDIDATES: 1 HISTORICAL: 1",
+        "t": "ENTITY: t\nPROPERTY: value\nCURRENT STATUS: contested\nCANDIDATES: 2 HISTORICAL: 0",
+    }
+
+
 def test_question_features(spark):
     rows = [("What is the target date?",), ("Why do we think so, as of day 12?",), ("due status at seq 7",), (None,)]
     q = F.col("q")
