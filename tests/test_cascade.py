@@ -1,5 +1,8 @@
 """Derived nodes, incremental state, intents, gates and the redo log on small hand-made stores."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +133,34 @@ def test_subjects_with_stop_words_ties_and_predicates(spark):
     assert got == {1: (None, 2), 2: ("q", 1), 3: ("s", 1), 4: (None, 0)}
 
 
+@pytest.mark.parametrize("spread", [0, 1, 10**9])
+def test_subjects_are_those_of_scoring_all_however_common_the_words(spark, spread):
+    dice = random.Random(5)
+    names = [f"u{k}" for k in range(12)]
+    held = {(s, w): dice.randint(1, 2) for s in names for w in ("moved", "late", "revised") if dice.random() < 0.7}
+    held |= {(s, f"n{k}"): 1 for k, s in enumerate(names)} | {("u1", "n0"): 3, ("u5", "n4"): 1}
+    carried = {(p, s) for p in ("deadline", "value") for s in names if dice.random() < 0.6}
+    asked = [(k, " ".join(dice.choices(["moved", "late", "revised", "the", *[f"n{j}" for j in range(13)]], k=dice.randint(1, 4))), dice.choice(["deadline", "value", None])) for k in range(80)]
+    df = {w: sum(x == w for _, x in held) for _, w in held}
+    want = {}
+    for k, text, p in asked:
+        score = {}
+        for w in text.split():
+            for s in names:
+                if (s, w) in held and (p is None or (p, s) in carried):
+                    score[s] = score.get(s, 0.0) + (math.log((1 + len(names)) / (1 + df[w])) + 1) * (1 + math.log(held[s, w]))
+        best = max(score.values(), default=0.0)
+        near = [s for s in score if best - score[s] <= 1e-9]
+        second = max((v for s, v in score.items() if [s] != near), default=0.0)
+        want[k] = (near[0], 1, round((best - second) / best, 6)) if len(near) == 1 else (None, len(near), 0.0)
+    profiles = spark.createDataFrame([(s, w, tf) for (s, w), tf in held.items()], "subject_id string, token string, tf long")
+    allowed = spark.createDataFrame(sorted(carried), "predicate string, subject_id string")
+    q = spark.createDataFrame(asked, "query_id long, question string, predicate string")
+    got = r.plan_subjects(q, profiles, allowed, spark.createDataFrame([(len(names),)], "n long"), spread).collect()
+    assert {x.query_id: (x.subject_id, x.n_tied, round(x.confidence, 6)) for x in got} == want
+    assert {n for _, n, _ in want.values()} >= {0, 1, 2}
+
+
 def test_gate_holds_only_protected_keys(spark):
     keys = spark.createDataFrame([(1, "s|deadline"), (2, "q|value")], "seq long, read_key string")
     phases = spark.createDataFrame([(1, "invalidated"), (2, "prepared")], "seq long, phase string")
