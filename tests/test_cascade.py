@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as tx
 from palimpsest.operators import cascade as c
 from palimpsest.operators import intents as i
 from palimpsest.operators import retrieval as r
@@ -161,6 +162,20 @@ def test_subjects_are_those_of_scoring_all_however_common_the_words(spark, sprea
     assert {n for _, n, _ in want.values()} >= {0, 1, 2}
 
 
+def test_questions_of_one_class_keep_their_own_limits(spark):
+    rows = [("a1", "s", "deadline", "1", 1, 1, 5), ("a2", "s", "deadline", "2", 2, 4, None), ("a3", "s", "deadline", "3", 3, None, None), ("a4", "q", "deadline", "4", 4, None, None)]
+    base = store(spark, rows, [("e1", "alpha beta", 1), ("e2", "alpha", 2), ("e3", "gamma", 3), ("e4", "alpha", 4)])
+    asked = [(1, "alpha", "s", "deadline", None, None), (2, "alpha zeta", "s", "deadline", None, 2), (3, "alpha", "s", "deadline", 2, None), (4, "alpha", "q", "deadline", None, None), (5, "zeta", "s", "deadline", None, None)]
+    q = spark.createDataFrame(asked, "query_id long, question string, subject_id string, predicate string, valid_time long, known_by long")
+    words = tx.terms(tx.tokens(F.col("payload"))), tx.terms(tx.tokens(F.col("question")))
+    channel = r.channel(base["evidence"], q, *words, base["evidence"].agg(F.count("*").alias("n")))
+    docs = r.assembled(base["evidence"], base["bridge"], base["assertions"])
+    got = {}
+    for x in sorted(r.planned_search(q, docs, [channel, channel], 2).collect(), key=lambda x: (x.query_id, x.rank)):
+        got.setdefault(x.query_id, []).append((x.id, x.score > 0))
+    assert got == {1: [("e2", True), ("e1", True)], 2: [("e2", True), ("e1", True)], 3: [("e1", True), ("e3", False)], 4: [("e4", True)], 5: [("e3", False), ("e2", False)]}
+
+
 def test_gate_holds_only_protected_keys(spark):
     keys = spark.createDataFrame([(1, "s|deadline"), (2, "q|value")], "seq long, read_key string")
     phases = spark.createDataFrame([(1, "invalidated"), (2, "prepared")], "seq long, phase string")
