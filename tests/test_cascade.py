@@ -176,6 +176,17 @@ def test_questions_of_one_class_keep_their_own_limits(spark):
     assert got == {1: [("e2", True), ("e1", True)], 2: [("e2", True), ("e1", True)], 3: [("e1", True), ("e3", False)], 4: [("e4", True)], 5: [("e3", False), ("e2", False)]}
 
 
+def test_equal_noisy_questions_are_looked_up_once(spark, monkeypatch):
+    profiles = spark.createDataFrame([("c1", "client-abcdef", 1), ("c2", "client-abcxyz", 1)], "subject_id string, token string, tf long")
+    asked = [(1, "who is client-abcdef"), (2, "client-abcde"), (3, "client-abcde"), (4, None), (5, "the"), (6, "qqqqqq")]
+    seen = []
+    monkeypatch.setattr(r, "staged", lambda df, name: seen.append((name, df.select("query_id").distinct().count())) or df)
+    q = spark.createDataFrame(asked, "query_id long, question string")
+    got = {x.query_id: (x.subject_id, x.n_tied, x.n_candidates) for x in r.noisy_subjects(q, profiles, spark.createDataFrame([(2,)], "n long")).collect()}
+    assert got == {1: ("c1", 1, 1), 2: ("c1", 1, 2), 3: ("c1", 1, 2), 4: (None, 0, 0), 5: (None, 0, 0), 6: (None, 0, 0)}
+    assert seen == [("candidates", 2)]
+
+
 def test_gate_holds_only_protected_keys(spark):
     keys = spark.createDataFrame([(1, "s|deadline"), (2, "q|value")], "seq long, read_key string")
     phases = spark.createDataFrame([(1, "invalidated"), (2, "prepared")], "seq long, phase string")
