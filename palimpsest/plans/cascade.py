@@ -188,11 +188,7 @@ def index_patch(spark, sf_dir):
 def index_parity(spark, sf_dir):
     """M3: the patched structures against rebuilt ones."""
     before, after = _stores(spark, sf_dir)
-    patch = c.index_patch(before, after, staged(c.affected_subjects(before, after), "subjects"))
-    patched = c.address_index(before).withColumn("change", F.lit(1)).unionByName(patch).groupBy("structure", "subject_id", "entry").agg(F.sum("change").alias("n")).where("n <> 0")
-    full = c.address_index(after).withColumn("full", F.lit(1))
-    table = full.join(patched, ["structure", "subject_id", "entry"], "full_outer")
-    return table.groupBy("structure").agg(F.count("full").alias("n_entries"), F.count_if(F.col("full").isNull() | F.col("n").isNull() | (F.col("n") != 1)).alias("n_different"))
+    return c.patched_parity(before, after, staged(c.affected_subjects(before, after), "subjects"))
 
 
 _CUT = """,

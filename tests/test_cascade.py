@@ -241,6 +241,28 @@ def two_stores(spark):
     return before, after
 
 
+def test_one_index_of_both_stores_is_the_two_indexes(spark):
+    before, after = two_stores(spark)
+    old, new = ({tuple(x) for x in c.address_index(s).collect()} for s in (before, after))
+    subjects = staged(c.affected_subjects(before, after), "subjects")
+    assert {x.subject_id for x in subjects.collect()} == {"s0", "s1", "s2", "s3", "s9"}
+    patch = c.index_patch(before, after, subjects)
+    assert optimized(patch).count("regexp_extract_all") <= 2  # texts are split once for tokens, not once a structure and store
+    got = patch.collect()
+    assert {tuple(x)[:3] for x in got if x.change == 1} == new - old
+    assert {tuple(x)[:3] for x in got if x.change == -1} == old - new
+    assert len(got) == len(new ^ old)
+
+
+def test_parity_tells_subjects_that_the_patch_forgot(spark):
+    before, after = two_stores(spark)
+    old, new = ({tuple(x) for x in c.address_index(s).collect()} for s in (before, after))
+    some = spark.createDataFrame([("s1",), ("s9",)], "subject_id string")
+    got = {x.structure: (x.n_entries, x.n_different) for x in c.patched_parity(before, after, some).collect()}
+    want = {k: (sum(x[0] == k for x in new), sum(x[0] == k and x[1] not in ("s1", "s9") for x in new ^ old)) for k in c.STRUCTURES}
+    assert got == want and any(n for _, n in got.values())
+
+
 def test_nodes_are_judged_once(spark, registry):
     before, after = two_stores(spark)
     links = spark.createDataFrame([("a4", "corrects", "a0", 1), ("a8", "supersedes", "a4", 2)], R)
