@@ -273,3 +273,29 @@ def test_nodes_are_judged_once(spark, registry):
         assert "source_assertion_id" not in optimized(frame)  # relations are joined once, not once a part
     names = {x.node for x in changed.collect()}
     assert {tuple(x) for x in part.collect()} == {tuple(x) for x in full.collect() if x.node in names}
+
+
+def test_words_are_read_once(spark):
+    said = spark.createDataFrame([("Vendor-x slipped, released LATE",), ("one",), ("",), (None,)], "text string")
+    got = said.select(tx.terms(tx.tokens(F.col("text"))).alias("w"), tx.terms(tx.concepts(F.col("text"))).alias("c"))
+    assert optimized(got).count("regexp_extract_all") == 2  # as it was, once for each time that terms names the words
+    assert [(x.w, x.c) for x in got.collect()] == [
+        (["vendor-x", "slipped", "released", "late", "vendor-x slipped", "slipped released", "released late"], ["delay", "release", "delay", "delay release", "release delay"]),
+        (["one"], ["one"]), ([], []), ([], []),
+    ]
+
+
+def test_scores_of_both_channels_are_those_of_each(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["launch", "late", "vendor-x", "due", "of", "alpha", "beta"], k=rng.randrange(9))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    asked = spark.createDataFrame([(1, "late launch of alpha"), (2, "vendor-x gamma"), (3, ""), (4, "due due beta")], "query_id long, text string")
+    n, split = docs.agg(F.count("*").alias("n")), {"c": tx.terms(tx.concepts(F.col("text"))), "l": tx.terms(tx.tokens(F.col("text")))}
+    scores = r.channel_scores(docs, asked, {k: (x, x) for k, x in split.items()}, n)
+    assert "regexp_extract_all" not in optimized(scores)  # texts end with the staged weights
+    rows = scores.collect()
+    for name, words in split.items():
+        weights, vectors = r.channel(docs, asked, words, words, n)
+        want = {(x.query_id, x.id): x.score for x in r.cosine(vectors, weights).collect()}
+        got = {(x.query_id, x.id): x[name] for x in rows if x[name] is not None}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1.5e-6 for k in want)
