@@ -251,16 +251,17 @@ truth AS (
 """
 
 
-def _routed(spark, sf_dir):
+def _routed(spark, sf_dir, questions):
+    """(answers, the state that was kept for them)."""
     a, rel, registry = tables.assertions(spark, sf_dir), tables.relations(spark, sf_dir), tables.registry(spark)
     kept = staged(t.reconcile(a, rel, registry), "state")
-    return t.flat(t.routed_answers(state._questions(spark, sf_dir), kept, a, rel, registry))
+    return t.flat(t.routed_answers(questions, kept, a, rel, registry)), kept
 
 
 @query(f"WITH {tables.SQL}{_ROUTED} SELECT query_id, route, status, operative FROM truth")
 def routed_answers(spark, sf_dir):
     """Current questions from kept state, as-of ones on demand."""
-    return _routed(spark, sf_dir)
+    return _routed(spark, sf_dir, state._questions(spark, sf_dir))[0]
 
 
 @query(f"""WITH {tables.SQL}{_ROUTED},
@@ -272,8 +273,9 @@ def architecture_scores(spark, sf_dir):
     """Three ways to answer the same questions: with as-of state, with current state only, by recency."""
     a = tables.assertions(spark, sf_dir)
     questions = staged(state._questions(spark, sf_dir), "questions")
-    truth = staged(_routed(spark, sf_dir).select("query_id", "status", F.col("operative").alias("value")), "truth")
-    kept = staged(t.flat(state._state(spark, sf_dir)), "state")
+    answers, kept = _routed(spark, sf_dir, questions)
+    truth = staged(answers.select("query_id", "status", F.col("operative").alias("value")), "truth")
+    kept = t.flat(kept)
 
     def current(asked):
         return asked.join(kept, t.KEY, "left").select("query_id", F.coalesce("status", F.lit("unknown")).alias("status"), F.coalesce("operative", F.lit("")).alias("value"))

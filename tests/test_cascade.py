@@ -299,3 +299,16 @@ def test_scores_of_both_channels_are_those_of_each(spark):
         want = {(x.query_id, x.id): x.score for x in r.cosine(vectors, weights).collect()}
         got = {(x.query_id, x.id): x[name] for x in rows if x[name] is not None}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1.5e-6 for k in want)
+
+
+def test_questions_as_of_reconcile_as_each_alone(spark, registry):
+    rng = random.Random(3)
+    rows = [(f"a{k}", f"s{k % 2}", ("value", "works_at", "lost")[k % 3], str(rng.randrange(3)), k // 2, rng.choice([None, 0, 3]), rng.choice([None, 4, 9])) for k in range(40)]
+    links = [(f"a{a}", rng.choice(["corrects", "supersedes", "refines"]), f"a{b}", n) for n, (a, b) in enumerate((rng.randrange(40), rng.randrange(40)) for _ in range(60))]
+    asked = [(n, f"s{n % 3}", ("value", "works_at", "lost")[n // 2 % 3], rng.choice([None, 1, 3, 8]), rng.choice([None, 4, 12])) for n in range(40)]
+    a, rel = spark.createDataFrame(rows, A), spark.createDataFrame(links, R)
+    q = spark.createDataFrame(asked, "query_id long, subject_id string, predicate string, valid_time long, known_by long")
+    got = t.reconcile_as_of(q, a, rel, registry)
+    want = t.reconcile(t.as_of(q, a), rel, registry, ["query_id"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert optimized(got).count("Join") < optimized(want).count("Join")
