@@ -26,6 +26,9 @@ def touched_only(rows: DataFrame, touched: DataFrame, keys: list[str]) -> DataFr
     return rows.join(touched.select(*keys).distinct(), keys, "left_semi")
 
 
+ASSERTIONS_A_PLACE = 100_000  #: with up to five edges each, some hundred MB in a hash table
+
+
 def dependency_edges(assertions: DataFrame, bridge: DataFrame) -> DataFrame:
     """source_node, derived_node: evidence and assertions to profiles and states, states to supports, supports to
     contexts."""
@@ -51,7 +54,10 @@ def dependency_edges(assertions: DataFrame, bridge: DataFrame) -> DataFrame:
     out = edges[0]
     for more in edges[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    # nearly all edges are distinct: they are hashed in the place of their source only, and places grow in number with
+    # the table, since strings of a few letters that repeat take up twenty times their bytes on the way
+    places = max(int(assertions.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + assertions.count() // ASSERTIONS_A_PLACE)
+    return out.repartition(places, "source_node").distinct()
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:

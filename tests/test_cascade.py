@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as tx
 from palimpsest.operators import cascade as c
 from palimpsest.operators import intents as i
+from palimpsest.operators import maintenance as m
 from palimpsest.operators import retrieval as r
 from palimpsest.operators import temporal as t
 from palimpsest.sources.shared import staged
@@ -312,3 +313,13 @@ def test_questions_as_of_reconcile_as_each_alone(spark, registry):
     want = t.reconcile(t.as_of(q, a), rel, registry, ["query_id"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert optimized(got).count("Join") < optimized(want).count("Join")
+
+
+def test_places_of_edges_grow_with_the_table(spark, monkeypatch):
+    base = store(spark)
+    want = sorted(map(tuple, m.dependency_edges(base["assertions"], base["bridge"]).collect()))
+    assert len(want) == len(set(want)) == 3 * 6
+    monkeypatch.setattr(m, "ASSERTIONS_A_PLACE", 1)
+    edges = m.dependency_edges(base["assertions"], base["bridge"])
+    assert edges.rdd.getNumPartitions() == 4  # one an assertion, and one; not merged again
+    assert sorted(map(tuple, edges.collect())) == want
