@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import shared_root
 
+BATCH_BYTES = 8 << 20
 FILTER_BITS = 1 << 25  # 4 MB: the proven bound on what a membership filter sends around
 
 
@@ -52,6 +53,15 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lets no Arrow batch between the JVM and Python hold more than about BATCH_BYTES (or one row), from here on and
+    for the whole session, since what is returned unevaluated is planned later. A lower bound that is set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def membership(keys: DataFrame, key: str):
     """A column function: long -> whether the value may be among keys (never a wrong no). The filter is a bitmap of
     FILTER_BITS, whatever the number of keys: with too many of them it lets more through, and nothing is lost."""

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .frames import discard, pick, staged
 from .textbytes import blocks, mix
-from .tokens import tokenizer, vocabulary, with_end
+from .tokens import SLOT_BITS, tokenizer, vocabulary, with_end
 
 DIMENSIONS, BITS = 4, 12
 RUN_BYTES, MOST_RUNS, PART_IDS = 16 << 20, 50_000, 2048
@@ -60,9 +60,9 @@ def directions(size: int) -> np.ndarray:
 _TOKENISED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("at", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
-def _tokenise(vocab: str, end_id: int):
+def _tokenise(vocab: str, end_id: int, memo_bits: int):
     def run(batches):
-        coder = tokenizer(vocabulary(vocab))  # where this worker has it
+        coder = tokenizer(vocabulary(vocab), memo_bits)  # where this worker has it
         size = max(coder.library.get_vocab_size(), end_id + 1)
         axes = directions(size)
         for batch in batches:
@@ -143,15 +143,16 @@ def _lay(dtype: str, most: int):
     return run
 
 
-def pack_along_curve(docs: DataFrame, *, most: int = 2048, vocab: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:
+def pack_along_curve(docs: DataFrame, *, most: int = 2048, vocab: str = "word_bpe_49k.json", end_id: int = 1, memo_bits: int = SLOT_BITS) -> DataFrame:
     """Pieces of every document in sequences of at most ``most`` ids: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset. Null or empty text: the end id alone. Repeated rows are separate documents; a null doc_id
     stays null. Ties on the curve go by doc_id, then by place. A document of more than PART_IDS ids is cut there too. Each of the sorted runs (RUN_BYTES of ids)
-    ends in at most eleven short sequences. No rows: no pieces."""
+    ends in at most eleven short sequences. memo_bits: slots of each worker's memo of segments, which it keeps after
+    the task; the ids don't depend on it. No rows: no pieces."""
     spark = docs.sparkSession
-    coder = tokenizer(vocabulary(vocab))
+    coder = tokenizer(vocabulary(vocab), memo_bits)
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids, ids_path = staged(rows.mapInArrow(_tokenise(vocab, end_id), _TOKENISED), "packing-ids")
+    ids, ids_path = staged(rows.mapInArrow(_tokenise(vocab, end_id, memo_bits), _TOKENISED), "packing-ids")
     axis = [F.col("at")[k] for k in range(DIMENSIONS)]
     first = F.col("start") == 0
     stats = ids.agg(*[F.avg(F.when(first, a)) for a in axis], *[F.stddev_pop(F.when(first, a)) for a in axis], F.sum(F.octet_length("ids"))).first()

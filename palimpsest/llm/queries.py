@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 SOURCE_WEIGHTS = [("web", 3), ("books", 2), ("code", 1), ("web/en", 4), ("web/en/src0", 2), ("books/en", 3)]
 
 
+def source_weights(spark: SparkSession) -> DataFrame:
+    """SOURCE_WEIGHTS as a local relation: rows given as a Python list would start a Python daemon and workers of
+    their own on every executor."""
+    path, weight = zip(*SOURCE_WEIGHTS, strict=True)
+    return spark.createDataFrame(pa.table({"path": pa.array(path, pa.string()), "weight": pa.array(weight, pa.int64())}))
+
+
 def mixing_levels():
     def domain(c):
         number = F.regexp_extract(F.coalesce(c["source"], F.lit("")), "([0-9]+)$", 1)
@@ -62,7 +70,7 @@ def mixing_levels():
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, epoch: one row for each time that a document is read."""
-    weights = spark.createDataFrame(SOURCE_WEIGHTS, "path string, weight long")
+    weights = source_weights(spark)
     docs = _table(spark, sf_dir, "documents")
     mixed = mixing.mixed(docs, mixing_levels(), weights, fraction=0.5, most_epochs=2, seed=17)
     own = [F.col(f"c{place(docs.columns, x)}").alias(x) for x in ("doc_id", "lang", "source")]

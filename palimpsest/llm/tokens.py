@@ -18,9 +18,8 @@ import numpy as np
 
 from .textbytes import CONTINUATION, PUNCTUATION, Hasher, mix
 
-MEMO = 2_000_000  # segments after which a worker starts afresh
 SLOT_BITS = 22
-SLOTS = 1 << SLOT_BITS
+LOAD = 0.48  # segments a slot after which a worker starts afresh: two million with SLOT_BITS
 MOST = 64  # bytes of a remembered segment
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -33,7 +32,8 @@ def vocabulary(name: str) -> str:
 
 
 class SegmentTokenizer:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, bits: int = SLOT_BITS) -> None:
+        self.bits, self.most = bits, int(LOAD * (1 << bits))
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,9 +43,9 @@ class SegmentTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.begins = np.zeros(SLOTS, np.uint64)  # the first eight bytes of the segment in each slot
-        self.long = np.zeros(SLOTS, np.uint8)  # its length, 0 if there is none
-        self.entry = np.zeros(SLOTS, np.int32)
+        self.begins = np.zeros(1 << self.bits, np.uint64)  # the first eight bytes of the segment in each slot
+        self.long = np.zeros(1 << self.bits, np.uint8)  # its length, 0 if there is none
+        self.entry = np.zeros(1 << self.bits, np.int32)
         self.flat = np.zeros(1 << 16, self.dtype)
         self.where = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int32)
@@ -121,14 +121,14 @@ class SegmentTokenizer:
         cut[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
-        if self.known > MEMO:
+        if self.known > self.most:
             self._forget()
         text, size = Hasher(data), end - start
         begins = text.chunk(start, size)
         key = mix(begins ^ size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         longer = np.flatnonzero(size > 8)
         key[longer] = text.spans(start[longer], end[longer])
-        slot = (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        slot = (key >> np.uint64(64 - self.bits)).astype(np.int64)
         entry = self.entry[slot]
         hit = (self.begins[slot] == begins) & (self.long[slot] == size)  # up to eight bytes, that is all of it
         longer = longer[hit[longer]]
@@ -157,8 +157,8 @@ class SegmentTokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> SegmentTokenizer:
-    return SegmentTokenizer(path)
+def tokenizer(path: str, bits: int = SLOT_BITS) -> SegmentTokenizer:
+    return SegmentTokenizer(path, bits)
 
 
 def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
