@@ -161,10 +161,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
 
     wanted, _ = blocked(rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-queries")
     blocks, count = blocked(rows, "ann-rows")
-    # each block of the stated query set goes to every group of candidate blocks, and meets them there one by one
+    # each block of the stated query set goes to every group of candidate blocks, and meets them there one by one; the
+    # hint is needed, since Spark takes the exploded blocks to be as small as one copy and would broadcast all copies
     groups = -(-count // BLOCKS_A_GROUP)
     spread = wanted.select(F.col("id").alias("q"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    met = spread.join(blocks.withColumn("part", F.col("id") % groups), "part").select("q", "q_ids", "q_data", "ids", "data")
+    met = spread.hint("merge").join(blocks.withColumn("part", F.col("id") % groups), "part").select("q", "q_ids", "q_data", "ids", "data")
     found = met.mapInArrow(_tiles(dim, kind, k), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
